@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import sys
@@ -49,6 +50,7 @@ def main():
             df = QUERIES[name](spark, sf)
             got = rows(df.columns, [tuple(r) for r in df.collect()])
             took = time.time() - t
+            del df
             if name not in ORACLES:
                 print(f"{name:28s} rows only  {len(got[1])} rows {took:.1f}s", flush=True)
                 continue
@@ -69,6 +71,13 @@ def main():
                     for x, y in list(zip(sorted(a - b), sorted(b - a)))[:3]:
                         print("   S", x)
                         print("   Q", y)
+            if len(wanted) > 20 and wanted.index(name) % 10 == 0:
+                rt = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+                spark.sparkContext._jvm.System.gc()
+                before = (rt.totalMemory() - rt.freeMemory()) / 1e9
+                gc.collect()
+                spark.sparkContext._jvm.System.gc()
+                print(f"  heap {before:.2f} -> {(rt.totalMemory() - rt.freeMemory()) / 1e9:.2f} GB", flush=True)
         except Exception:
             bad.append(name)
             print(f"{name:28s} ERROR", flush=True)

@@ -21,6 +21,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and continue from the written rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the reliable checkpoint folder and continue from the written rows.
+
+    A checkpoint also records every constraint Catalyst can derive for its rows. With the many aliased
+    columns of a feature table that derivation grows beyond any use, so it is off during the call.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, before)

@@ -16,10 +16,16 @@ from ..schema import (
 from .session import prepare
 
 PANEL_VALUES = (PRICE, DEMAND, RENEWABLE, DAY_AHEAD, IMBALANCE)
+TIE = 3e-9
 KINDS = {PRICE: "purchase", DEMAND: "view", RENEWABLE: "click", DAY_AHEAD: "signup", IMBALANCE: "error"}
 FOLDS = ForecastConfig(train_days=14, test_days=7)
 
 
+def six(x):
+    """Six decimals; a mean of decimal data that lies on a tie goes up whatever the order of its sum."""
+    return F.round(x + F.lit(TIE / 10), 6)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf}/{name}.parquet")
 
@@ -35,7 +41,7 @@ def events(spark: SparkSession, sf: str, per_user: bool = False) -> DataFrame:
 def panel(spark: SparkSession, sf: str, per_user: bool = False) -> DataFrame:
     """Hourly means per event type, one grouped pass over the events."""
     rows = events(spark, sf, per_user).withColumn(TS, F.date_trunc("hour", "ts"))
-    mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 6)
+    mean = lambda kind: six(F.avg(F.when(F.col("event_type") == kind, F.col("value"))))
     out = rows.groupBy(*KEYS, TS).agg(*[mean(k).alias(c) for c, k in KINDS.items()])
     return out.withColumn(DEMAND, F.col(DEMAND) * 1000.0)
 
@@ -48,7 +54,7 @@ def aligned(spark: SparkSession, sf: str, per_user: bool = False) -> DataFrame:
 def clean(spark: SparkSession, sf: str, per_user: bool = False) -> DataFrame:
     """Complete hourly panel with repaired gaps and resolved prices."""
     filled = gaps.interpolate_and_fill(aligned(spark, sf, per_user), list(PANEL_VALUES))
-    rounded = filled.withColumns({c: F.round(c, 6) for c in PANEL_VALUES})
+    rounded = filled.withColumns({c: six(F.col(c)) for c in PANEL_VALUES})
     return gaps.resolve_prices(rounded.withColumn("intraday_price_eur_mwh", F.lit(None).cast("double")))
 
 
@@ -57,14 +63,14 @@ def weather(spark: SparkSession, sf: str, per_user: bool = False) -> DataFrame:
     rows = events(spark, sf, per_user).withColumn(TS, F.date_trunc("hour", "ts"))
     k = F.get_json_object("props", "$.k").cast("double")
     hourly = rows.groupBy(*KEYS, TS).agg(
-        F.round(F.avg(k), 6).alias(WEATHER_VALUES[0]),
+        six(F.avg(k)).alias(WEATHER_VALUES[0]),
         F.min(k).alias(WEATHER_VALUES[1]),
         F.max(k).alias(WEATHER_VALUES[2]),
-        F.round(F.avg(k * k), 6).alias(WEATHER_VALUES[3]),
+        six(F.avg(k * k)).alias(WEATHER_VALUES[3]),
     )
     grid = gaps.hourly_grid(gaps.series_bounds(hourly))
     filled = gaps.interpolate_and_fill(gaps.align_to_grid(grid, hourly), list(WEATHER_VALUES))
-    return filled.withColumns({c: F.round(c, 6) for c in WEATHER_VALUES})
+    return filled.withColumns({c: six(F.col(c)) for c in WEATHER_VALUES})
 
 
 def merged(spark: SparkSession, sf: str, per_user: bool = False) -> DataFrame:
@@ -80,7 +86,7 @@ def with_simple_forecast(df: DataFrame) -> DataFrame:
     return chunks.core(
         part.withColumns(
             {
-                PRED_PRICE: F.round(F.avg(PRICE).over(w.rowsBetween(-24, -1)), 6),
+                PRED_PRICE: six(F.avg(PRICE).over(w.rowsBetween(-24, -1))),
                 PRED_DEMAND: F.lag(DEMAND).over(w),
                 PRED_RENEWABLE: F.lag(RENEWABLE).over(w),
             }
@@ -98,7 +104,7 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
         {"series_id": F.col("l_returnflag"), TS: F.date_trunc("day", F.col("l_shipdate").cast("timestamp"))}
     )
     return rows.groupBy(*KEYS, TS).agg(
-        F.round(F.avg("l_extendedprice"), 6).alias(PRICE), F.round(F.avg("l_quantity"), 6).alias(DEMAND)
+        six(F.avg("l_extendedprice")).alias(PRICE), six(F.avg("l_quantity")).alias(DEMAND)
     )
 
 
@@ -121,14 +127,18 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def present(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
-    """Output form: times as text, doubles rounded, no negative zero."""
+    """Output form: times as text, doubles rounded half up within 3e-9 of a tie, no negative zero.
+
+    The tolerance keeps means of decimal data, which often lie exactly on a tie, independent of the
+    order in which an engine adds numbers.
+    """
 
     def one(f):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name)
         if isinstance(f.dataType, T.DoubleType):
-            r = F.round(c, special.get(f.name, digits))
+            r = F.round(c + F.lit(TIE), special.get(f.name, digits))
             return F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             return c.cast("long").alias(f.name)

@@ -53,7 +53,7 @@ def quarter_hour_rollup(spark, sf):
     """A 15-minute feed first, then its hourly mean."""
     rows = base.events(spark, sf)
     quarter = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 900) * 900).alias(TS)
-    feed = rows.groupBy(*KEYS, quarter).agg(F.round(F.avg("value"), 6).alias("value"))
+    feed = rows.groupBy(*KEYS, quarter).agg(base.six(F.avg("value")).alias("value"))
     return present(gaps.rollup_hourly(feed, ["value"]))
 
 
