@@ -420,7 +420,7 @@ def _fit(train, target, params, fc, early_stopping, tolerance, end):
         if few:
             model.setMaxIter(min(params.trees, 10))
         else:
-            model.setValidationIndicatorCol("_late").setValidationTol(tolerance)
+            model.setValidationIndicatorCol("_late").set(model.validationTol, tolerance)
     return model.fit(train)
 
 
