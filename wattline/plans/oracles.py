@@ -6,6 +6,8 @@ statement uses.
 
 from __future__ import annotations
 
+import math
+
 K = "series_id, timestamp_utc"
 W = "PARTITION BY series_id ORDER BY timestamp_utc"
 P, DA, IN, SP = "price_eur_mwh", "day_ahead_price_eur_mwh", "intraday_price_eur_mwh", "intraday_day_ahead_spread_eur_mwh"
@@ -296,6 +298,29 @@ picks AS (
 boot AS (SELECT series_id, rep, {cols} FROM picks JOIN streams USING (series_id, rn0) GROUP BY 1, 2)"""
 
 
+def poisson(iterations: int, streams, source: str) -> str:
+    """Replicates with Poisson(1) row weights from the same hash."""
+    cuts, mass, total = [], math.exp(-1.0), 0.0
+    for k in range(12):
+        total += mass
+        cuts.append(total)
+        mass /= k + 1
+    weight = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in cuts)
+    sums = ", ".join(f"sum(w * {s}) AS a_{s}, sum(w * {s} * {s}) AS q_{s}" for s in streams)
+    cols = ", ".join(
+        f"coalesce(a_{s} / n / nullif(sqrt(greatest((q_{s} - n * (a_{s} / n) * (a_{s} / n)) / (n - 1), 0.0)), 0.0) * sqrt(24.0), 0.0) AS sh_{s}"
+        for s in streams
+    )
+    return f"""
+streams AS ({source}),
+spread_rows AS (
+  SELECT *, ('0x' || substr(md5('42-' || rep || '-' || rn0), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM streams, generate_series(1, {iterations}) g(rep)),
+weighted AS (SELECT *, ({weight})::DOUBLE AS w FROM spread_rows),
+totals AS (SELECT series_id, rep, sum(w) AS n, {sums} FROM weighted GROUP BY 1, 2),
+boot AS (SELECT series_id, rep, {cols} FROM totals)"""
+
+
 def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
@@ -541,6 +566,19 @@ counted AS (
     ),
     "anomaly_report": with_(BASE, ANOMALY) + f'SELECT series_id, col AS "column", missing, spike_count, {rnd("max_abs_zscore")} AS max_abs_zscore, '
     f"{rnd('early_mean')} AS early_mean, {rnd('late_mean')} AS late_mean, structural_break FROM report",
+    "anomaly_summary": with_(BASE, ANOMALY, """
+seen AS (
+  SELECT series_id, bool_or(missing > 0) AS m, bool_or(spike_count > 0) AS s, bool_or(structural_break) AS b FROM report GROUP BY 1)""") + (
+        "SELECT series_id, CASE WHEN s OR b THEN 'high' ELSE 'low' END AS severity, concat_ws(' ', "
+        "CASE WHEN m THEN 'Missing values remain in numeric columns.' END, "
+        "CASE WHEN s THEN 'Detected heavy-tailed spikes in market variables.' END, "
+        "CASE WHEN b THEN 'Detected potential structural breaks between early and late samples.' END, "
+        "CASE WHEN NOT (m OR s OR b) THEN 'No major anomalies detected beyond normal market volatility.' END) AS issues, concat_ws(' ', "
+        "CASE WHEN m THEN 'Interpolate short gaps and flag longer missing runs in research outputs.' END, "
+        "CASE WHEN s THEN 'Winsorize only for diagnostics and keep raw prices for trading realism.' END, "
+        "CASE WHEN b THEN 'Tag break periods as separate regimes in evaluation slices.' END, "
+        "CASE WHEN NOT (m OR s OR b) THEN 'Retain current cleaning rules.' END) AS actions FROM seen"
+    ),
     "frame_stats": B + f"SELECT count(*) AS rows, 7::BIGINT AS columns, strftime(min(timestamp_utc), {DATE}) AS first_ts, "
     f"strftime(max(timestamp_utc), {DATE}) AS last_ts FROM panel",
     # joins and feeds
@@ -689,6 +727,7 @@ bent(series_id, rn, e, r) AS (
     # significance
     "bootstrap_ci": with_(BASE, MARKET, TRADES, draws(50, STRATEGIES, WIDE)) + CI,
     "paired_significance": with_(BASE, MARKET, TRADES, draws(50, STRATEGIES, WIDE)) + PAIRS,
+    "poisson_bootstrap_ci": with_(BASE, MARKET, TRADES, poisson(50, STRATEGIES, WIDE)) + CI,
     "bootstrap_prices": with_(BASE, draws(20, ("own",), f"SELECT series_id, row_number() OVER ({W}) - 1 AS rn0, mv AS own FROM {MOVES}"))
     + f"SELECT series_id, {rnd('any_value(s)')} AS sharpe, {rnd('quantile_cont(sh_own, 0.025)')} AS ci_lower, {rnd('quantile_cont(sh_own, 0.975)')} AS ci_upper "
     "FROM boot JOIN (SELECT series_id, avg(own) / stddev_samp(own) * sqrt(24.0) AS s FROM streams GROUP BY 1) USING (series_id) GROUP BY 1",
