@@ -58,10 +58,11 @@ class Chunking:
     """How a series is cut along time so that one long series is many tasks.
 
     ``rows`` is the length of a chunk on the hourly grid. Each task sees one chunk plus the
-    few rows around it that its row frames reach into.
+    few rows around it that its row frames reach into. With its halo a chunk stays below the 4,096
+    rows that Spark's window operator keeps in memory before it turns to its spillable buffer.
     """
 
-    rows: int = 4096
+    rows: int = 3840
 
 
 DEFAULT_CHUNKING = Chunking()
