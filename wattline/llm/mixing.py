@@ -10,8 +10,8 @@ problem per source remains, which is solved by trying all its outcomes.
 from __future__ import annotations
 
 import random
-from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,16 +78,21 @@ def _flight(pi: list[float], rows: list[tuple[float, float]], draw: random.Rando
     return pi
 
 
-def _land(pi: list[float], sizes: list[int]) -> list[float]:
-    """The outcome of the undecided entries whose token total is nearest, then whose count is."""
-    open_ = [i for i, p in enumerate(pi) if 0.0 < p < 1.0]
-    tokens, count = sum(pi[i] * sizes[i] for i in open_), sum(pi[i] for i in open_)
+def _order(sizes: list[int], leave: int) -> list[int]:
+    """Positions of documents sorted by size as they enter the flight: ``leave`` of all sizes stay for last."""
+    n = len(sizes)
+    late = {round(i * (n - 1) / max(1, leave - 1)) for i in range(leave)} if n else set()
+    return [i for i in range(n) if i not in late] + sorted(late)
 
-    def miss(pick: tuple) -> tuple[float, float]:
-        return abs(sum(sizes[i] for i, x in zip(open_, pick) if x) - tokens), abs(sum(pick) - count)
 
+def _land(pi: list[float], sizes: list[int]) -> list[float]:
+    """The outcome of the undecided entries whose token total, and with little weight count, is nearest."""
+    open_ = [i for i, p in enumerate(pi) if 0.0 < p < 1.0]
+    size, p = np.array([sizes[i] for i in open_], dtype=float), np.array([pi[i] for i in open_])
+    picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
+    miss = np.abs(picks @ size - p @ size) / max(1.0, size.mean() if len(size) else 1.0) + 0.02 * np.abs(picks.sum(axis=1) - p.sum())
     pi = list(pi)
-    for i, x in zip(open_, min(product((0, 1), repeat=len(open_)), key=miss)):
+    for i, x in zip(open_, picks[miss.argmin()]):
         pi[i] = float(x)
     return pi
 
@@ -103,10 +108,13 @@ def _flown(units: DataFrame, last: bool, level: int) -> DataFrame:
 
 def _fly(pdf: pd.DataFrame, last: bool, level: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+    if last:
+        undecided = np.flatnonzero((pdf["pi"] > 1e-9) & (pdf["pi"] < 1 - 1e-9))
+        pdf = pdf.iloc[undecided[_order(undecided.tolist(), LANDING)].tolist() + np.setdiff1d(np.arange(len(pdf)), undecided).tolist()]
     sizes, start = pdf["size"].tolist(), pdf["start"].tolist()
     rows = [(1.0 / max(p, 1e-9), s / max(p, 1e-9)) for p, s in zip(start, sizes)]
     draw = random.Random(f"{level}/{pdf['rank'].iloc[0]}/{pdf['block'].iloc[0]}")
-    pi = _flight(pdf["pi"].tolist(), rows, draw, LANDING if last else 2)
+    pi = _flight(pdf["pi"].tolist(), rows, draw, LANDING + 2 if last else 2)
     return pdf.assign(pi=_land(pi, sizes) if last else pi)
 
 

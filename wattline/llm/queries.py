@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, sharding, simhash
-from .common import documents
+from . import exact_dedup, fingerprints, langid, language_model, line_dedup, mixing, packing, sharding, simhash, toxicity
+from .common import documents, id_fold
+from .shipping import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model).withColumn("held_out", id_fold("doc_id", 5) == 0)
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_length", "worst_score")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify_documents(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "declared", "language", "posterior", "letters", "kept")
+
+
+@query
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = langid.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select(F.col("id").alias("page_id"), "declared", "language", "posterior", "letters", "kept")
+
+
+@query
+def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
+@query
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))

@@ -17,7 +17,7 @@ from .common import staged
 POSITIONS = 1 << 16
 #: A position that weighs more than this part of a shard's mean load is taken apart by text.
 HEAVY = 1 / 512
-SLACK = 0.01
+SLACK = 1 / 500
 ROWS_PER_BIN = 50_000
 
 
@@ -88,7 +88,8 @@ def shard_documents(
     named = F.xxhash64("position", F.coalesce("key", F.lit(0)), F.coalesce("deal", F.lit(-1).cast("long")))
     units = light.unionByName(big).withColumns({"unit": named, "shard": F.lit(None).cast("int")})
     limit = mean * (1 + slack)
-    placed, open_ = place(units, ring_, shards, limit)
+    # Heavy units first; a light one weighs less than the slack and then always fits somewhere.
+    placed, open_ = place(units.where(F.col("weight") > part), ring_, shards, limit)
     if not open_.isEmpty():
         # Groups that fit nowhere: their rows are dealt into parts by id, each a unit of its own.
         dealt = rows.join(open_.select("position", F.col("key").alias("k")), "position").where("k IS NULL OR k = key")
@@ -100,6 +101,9 @@ def shard_documents(
         # What still fits nowhere is larger than any room left: it goes to its own shard on the ring.
         own = ring_.select("position", F.element_at("order", 1).alias("own"))
         placed = placed.join(own, "position").withColumn("shard", F.coalesce("shard", "own")).drop("own")
+    placed, open_ = place(placed.unionByName(units.where(F.col("weight") <= part)), ring_, shards, limit)
+    least = placed.where("shard IS NOT NULL").groupBy("shard").agg(F.sum("weight").alias("w")).orderBy("w", "shard").first()
+    placed = placed.withColumn("shard", F.coalesce("shard", F.lit(least["shard"] if least else 0)))
     placed = staged(placed.select("position", "key", "deal", "shard"), "ring-placed")
     by_position = placed.where("key IS NULL AND deal IS NULL").select("position", F.col("shard").alias("s0"))
     by_key = placed.where("key IS NOT NULL AND deal IS NULL").select("position", "key", F.col("shard").alias("s1"))
