@@ -36,12 +36,13 @@ class Config:
     common: int = 1 << 16
     size: int = 24
     context: int = 4
-    #: Share of the positions of every training text that a round visits.
-    visit: float = 1 / 16
+    #: Share of the positions of every training text that training visits, and how many at least if there are.
+    visit: float = 1 / 32
+    least_visits: int = 1_500_000
     rounds: int = 2
-    noise: int = 8
-    batch: int = 1024
-    rate: float = 0.2
+    noise: int = 20
+    batch: int = 512
+    rate: float = 0.1
     folds: int = 5
     held_out: int = 1
 
@@ -134,7 +135,7 @@ def unpack_parameters(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str
     return out
 
 
-def _sum_rows(target: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sum_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different indices, and the sum of ``rows`` for each."""
     order = np.argsort(index, kind="stable")
     at = index[order]
@@ -156,6 +157,8 @@ class Trainer:
         self.class_cdf = np.cumsum(self.class_p)
         self.in_class = per / self.class_p[:, None]
         self.in_cdf = np.cumsum(self.in_class, axis=1)
+        self.class_p = np.maximum(self.class_p, 1e-12).astype(np.float32)
+        self.flat_p = np.maximum(self.in_class.ravel(), 1e-12).astype(np.float32)
         self.seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
 
     def _step(self, name: str, grad: np.ndarray, index: np.ndarray | None = None) -> None:
@@ -163,46 +166,47 @@ class Trainer:
         self.seen[name][at] += grad * grad
         self.p[name][at] -= self.how.rate * grad / np.sqrt(self.seen[name][at])
 
-    @staticmethod
-    def _push(score: np.ndarray, log_noise: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Gradient of the contrastive loss with respect to the score."""
-        return 1.0 / (1.0 + np.exp(-np.clip(score - log_noise, -30, 30))) - real
-
     def step(self, context: np.ndarray, word: np.ndarray) -> None:
-        p, k = self.p, self.how.noise
-        n = len(word)
+        """One batch. Noise is shared: by all for the class, by the words of a class within it."""
+        p, k, width = self.p, self.how.noise, self.lay.width
+        order = np.argsort(word, kind="stable")
+        word, context = word[order], context[order]
         vectors = p["context"][context]
         q = (vectors * p["scale"]).sum(axis=1)
-        cls, width = word // self.lay.width, self.lay.width
-        # Classes: noise shared by the batch.
+        cls = word // width
         noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(k)), self.lay.classes - 1)
-        both = np.concatenate([cls[:, None], np.broadcast_to(noise, (n, k))], axis=1)
-        real = np.zeros((n, k + 1), dtype=np.float32)
-        real[:, 0] = 1
-        score = np.einsum("nd,nkd->nk", q, p["class"][both]) + p["class_bias"][both]
-        g = self._push(score, np.log(k * self.class_p[both] + 1e-30).astype(np.float32), real).astype(np.float32) / 16
-        dq = np.einsum("nk,nkd->nd", g, p["class"][both])
-        at, rows = _sum_rows(p["class"], both.ravel(), (g[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]))
-        at_b, rows_b = _sum_rows(p["class_bias"], both.ravel(), g.ravel()[:, None])
-        # Words of the class: noise from the class.
-        u = self.rng.random((n, k))
-        inside = np.minimum((self.in_cdf[cls][:, None, :] < u[:, :, None]).sum(axis=2), width - 1)
-        words = np.concatenate([word[:, None], cls[:, None] * width + inside], axis=1)
-        noise_p = self.in_class[cls[:, None], words - cls[:, None] * width]
-        score = np.einsum("nd,nkd->nk", q, p["word"][words]) + p["word_bias"][words]
-        h = self._push(score, np.log(k * noise_p + 1e-30).astype(np.float32), real).astype(np.float32) / 16
-        dq += np.einsum("nk,nkd->nd", h, p["word"][words])
-        at_w, rows_w = _sum_rows(p["word"], words.ravel(), (h[:, :, None] * q[:, None, :]).reshape(-1, q.shape[1]))
-        at_v, rows_v = _sum_rows(p["word_bias"], words.ravel(), h.ravel()[:, None])
-        at_c, rows_c = _sum_rows(p["context"], context.ravel(), (dq[:, None, :] * p["scale"]).reshape(-1, q.shape[1]))
+        g, g_noise, dq = self._contrast("class", q, cls, noise, self.class_p)
+        class_index, class_rows = [cls, noise], [g[:, None] * q, g_noise.T @ q]
+        class_bias = [g, g_noise.sum(axis=0)]
+        present, starts = np.unique(cls, return_index=True)
+        word_index, word_rows, word_bias, ends = [word], [None], [None], [*starts[1:], len(word)]
+        h = np.empty(len(word), dtype=np.float32)
+        for c, lo, hi in zip(present, starts, ends):
+            inside = np.minimum(np.searchsorted(self.in_cdf[c], self.rng.random(k)), width - 1) + c * width
+            h[lo:hi], h_noise, more = self._contrast("word", q[lo:hi], word[lo:hi], inside, self.flat_p)
+            dq[lo:hi] += more
+            word_index.append(inside)
+            word_rows.append(h_noise.T @ q[lo:hi])
+            word_bias.append(h_noise.sum(axis=0))
+        word_rows[0], word_bias[0] = h[:, None] * q, h
+        for name, index, rows, bias in (("class", class_index, class_rows, class_bias), ("word", word_index, word_rows, word_bias)):
+            at, total = _sum_rows(np.concatenate(index), np.concatenate([np.concatenate(rows), np.concatenate(bias)[:, None]], axis=1))
+            self._step(name, total[:, :-1], at)
+            self._step(f"{name}_bias", total[:, -1], at)
+        at, total = _sum_rows(context.ravel(), (dq[:, None, :] * p["scale"]).reshape(-1, q.shape[1]))
         scale = (dq[:, None, :] * vectors).sum(axis=0)
-        self._step("class", rows, at)
-        self._step("class_bias", rows_b[:, 0], at_b)
-        self._step("word", rows_w, at_w)
-        self._step("word_bias", rows_v[:, 0], at_v)
-        self._step("context", rows_c, at_c)
+        self._step("context", total, at)
         self._step("scale", scale)
 
+    def _contrast(self, name: str, q: np.ndarray, real: np.ndarray, noise: np.ndarray, prob: np.ndarray) -> tuple:
+        """Gradients of the scores of the real entries and of the noise, and of ``q``."""
+        vectors, bias, k = self.p[name], self.p[f"{name}_bias"], len(noise)
+        score = (q * vectors[real]).sum(axis=1) + bias[real] - np.log(k * prob[real])
+        other = q @ vectors[noise].T + bias[noise] - np.log(k * prob[noise])
+        g = 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - 1.0
+        g_noise = 1.0 / (1.0 + np.exp(-np.clip(other, -30, 30)))
+        return g, g_noise, g[:, None] * vectors[real] + g_noise @ vectors[noise]
+
 
 class _Numbers(dict):
     """Word -> its number if common, otherwise its hash moved out of the range of numbers."""
@@ -230,6 +234,7 @@ def train(rows: DataFrame, vocab: Vocabulary, how: Config) -> dict[str, np.ndarr
     """Rounds of parallel training over all of ``rows`` (t); only parameters, in at most 16 sums, reach the driver."""
     spark = rows.sparkSession
     p = initial(vocab, how)
+    visit = min(1.0, max(how.visit, how.least_visits / max(1, vocab.total)) / how.rounds)
     names = spark.sparkContext.broadcast(vocab)
     for round_ in range(how.rounds):
         sent = spark.sparkContext.broadcast(p)
@@ -244,7 +249,7 @@ def train(rows: DataFrame, vocab: Vocabulary, how: Config) -> dict[str, np.ndarr
                     tokens = (t.as_py() or b"").lower().split()
                     ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
                     ids = np.append(np.where((ids < 0) | (ids > rare), rare, ids), 0).astype(np.int32)
-                    seen = np.flatnonzero(trainer.rng.random(len(ids)) < how.visit)
+                    seen = np.flatnonzero(trainer.rng.random(len(ids)) < visit)
                     if len(seen):
                         held.append((contexts(ids, how.context)[seen], ids[seen]))
                         held_n += len(seen)

@@ -120,10 +120,11 @@ def _fly(pdf: pd.DataFrame, last: bool, level: int) -> pd.DataFrame:
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, row: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source, source_size, target, copies, taken.
+    """One row per row of ``docs``: row, doc_id, size, source, source_size, target, copies, taken.
 
+    ``row`` names a column that numbers the rows, handed through as row (else null).
     size counts words (null text: 0). copies is how often the document is taken, at most ceil of its
     source's rate and so never above ``cap``; taken = copies * size. Null sources form one source, last in
     order. Empty documents of a source with words follow its rate. A source without words has target 0 and
@@ -134,6 +135,7 @@ def mix(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"),
             n_words(F.col(text)).alias("size"), F.xxhash64(text, doc_id).alias("h"),
+            (F.col(row) if row else F.lit(None)).cast("long").alias("row"),
         ),
         "sizes",
     )
@@ -145,7 +147,7 @@ def mix(
     units = units.withColumns(
         {"whole": whole, "start": F.greatest(F.lit(0.0), F.col("rate") - whole), "block": F.pmod("h", "blocks")}
     ).withColumn("pi", F.col("start"))
-    units = staged(units.select("doc_id", "source", "size", "h", "rank", "source_size", "target", "whole", "start", "pi", "block"), "units")
+    units = staged(units.select("row", "doc_id", "source", "size", "h", "rank", "source_size", "target", "whole", "start", "pi", "block"), "units")
     blocks = per.agg(F.max("blocks")).first()[0] or 1
     open_, done, level = units, [], 0
     while True:
@@ -162,4 +164,4 @@ def mix(
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("whole") + F.round("pi")).cast("long")
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("row", "doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
