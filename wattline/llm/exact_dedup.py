@@ -41,7 +41,7 @@ class DigestIndex:
 def dedupe(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; new digests join the index.
 
-    ``row`` names a column that numbers the rows; it is returned as row and settles ties among repeated rows.
+    ``row`` names a column that numbers the rows: of repeated rows the first is kept, and column row names it (else null).
 
     Null text counts as empty. Of equal texts in the batch the largest doc_id stays (a null id is the
     smallest; repeated rows keep one). A text already in the index stays as the index has it, so every
@@ -53,19 +53,19 @@ def dedupe(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: st
         F.unhex(F.sha2(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 256)).alias("digest"),
         (F.col(row) if row else F.lit(0)).cast("long").alias("row"),
     )
-    rows = staged(hashed.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("row")).alias("rows")), "digests")
+    rows = staged(hashed.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"), F.min("row").alias("row")), "digests")
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.sum("copies").alias("group_size"))
     known = index.read().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
     groups = staged(groups.join(known.hint("merge"), "digest", "left"), "digest-groups")
     fresh = groups.where("known IS NULL").select("digest", F.col("last_id").alias("keep_id"))
     index.append(fresh.join(index.read().hint("merge"), "digest", "left_anti"))
     labelled = rows.join(groups, "digest").select(
-        "doc_id", "digest", "known", "group_size", F.posexplode("rows").alias("nth", "row"),
+        "doc_id", "digest", "known", "group_size", "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("nth"),
         F.when(F.col("known"), F.col("known_id")).otherwise(F.col("last_id")).alias("keep_id"),
     )
-    first = F.col("known").isNull() & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)
+    first = F.col("known").isNull() & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
     out = ["doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")]
-    return labelled.select(*out, *(["row"] if row else []))
+    return labelled.select(*out, *([F.when(first, F.col("row")).alias("row")] if row else []))
 
 
 def dedupe_once(docs: DataFrame, **columns) -> DataFrame:
