@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import row_index, staged
 
-SAMPLES, ROUNDS = 64, 8
+SAMPLES, ROUNDS = 64, 32
 #: Bits of (word, t) that an entry keeps; unequal entries agree by chance once in 2^16.
 BITS = 16
 #: ln(a) as a whole number: fraction bits kept when words are compared.
@@ -22,22 +22,37 @@ SPACE = r"[\x20\x09-\x0D]+"
 UNIT = 1.0 / (1 << 25)
 
 
-def _draws(word: Column, sample: Column) -> tuple[Column, Column, Column]:
-    """r, ln c and b of a word for a sample number, from 25-bit pieces of two hashes."""
-    one, two = F.xxhash64(word, sample), F.xxhash64(sample, word)
-    part = lambda h, at: (F.shiftrightunsigned(h, at).bitwiseAND((1 << 25) - 1) + F.lit(0.5)) * F.lit(UNIT)
-    r = -F.ln(part(one, 0) * part(one, 25))
-    log_c = F.ln(-F.ln(part(two, 0) * part(two, 25)))
-    b = (F.shiftrightunsigned(one, 50).bitwiseAND((1 << 14) - 1) * F.lit(2048.0) + F.shiftrightunsigned(two, 50).bitwiseAND(2047) + 0.5) * F.lit(UNIT)
-    return r, log_c, b
+def _part(hashed: str, at: int) -> Column:
+    """A number in (0, 1) from 25 bits of a hash."""
+    return (F.shiftrightunsigned(hashed, at).bitwiseAND((1 << 25) - 1) + F.lit(0.5)) * F.lit(UNIT)
 
 
-def _entry(word: Column, log_w: Column, r: Column, log_c: Column, b: Column) -> Column:
-    """ln a in the high bits, digest of (word, t) in the low ones: the smallest number is the sample."""
-    t = F.floor(log_w / r + b)
-    log_a = log_c - r * (t - b + 1.0)
-    digest = F.xxhash64(word, t).bitwiseAND((1 << BITS) - 1)
-    return F.shiftleft((log_a * F.lit(SCALE)).cast("long"), BITS).bitwiseOR(digest)
+def _drawn(rows: DataFrame, sides: int, per_round: int) -> DataFrame:
+    """Columns e{side}_{i}: ln a in the high bits, digest of (word, t) in the low ones, null without the word.
+
+    Each step is a projection of its own, so that what later steps use several times is computed once.
+    """
+    keys, logs, each = ["k0", "k1", "round"], [f"l{s}" for s in range(sides)], range(per_round)
+    at = lambda i: F.col("round") * per_round + i
+    hashes = [h for i in each for h in (F.xxhash64("word", at(i)).alias(f"x{i}"), F.xxhash64(at(i), "word").alias(f"y{i}"))]
+    rows = rows.select(*keys, "word", *logs, *hashes)
+    draws = []
+    for i in each:
+        x, y = f"x{i}", f"y{i}"
+        b = F.shiftrightunsigned(x, 50).bitwiseAND((1 << 14) - 1) * F.lit(2048.0) + F.shiftrightunsigned(y, 50).bitwiseAND(2047) + 0.5
+        draws += [(-F.ln(_part(x, 0) * _part(x, 25))).alias(f"r{i}"), F.ln(-F.ln(_part(y, 0) * _part(y, 25))).alias(f"c{i}"), (b * F.lit(UNIT)).alias(f"b{i}")]
+    rows = rows.select(*keys, "word", *logs, *draws)
+    steps = [F.floor(F.col(lw) / F.col(f"r{i}") + F.col(f"b{i}")).alias(f"t{s}_{i}") for s, lw in enumerate(logs) for i in each]
+    rows = rows.select(*keys, "word", *[f"{v}{i}" for i in each for v in "rcb"], *steps)
+    entries = []
+    for s in range(sides):
+        for i in each:
+            t = F.col(f"t{s}_{i}")
+            log_a = F.col(f"c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + 1.0)
+            digest = F.xxhash64("word", t).bitwiseAND((1 << BITS) - 1)
+            packed = F.shiftleft((log_a * F.lit(SCALE)).cast("long"), BITS).bitwiseOR(digest)
+            entries.append(packed.alias(f"e{s}_{i}"))
+    return rows.select(*keys, *entries)
 
 
 def signatures(texts: DataFrame, sides: int, samples: int = SAMPLES, rounds: int = ROUNDS) -> DataFrame:
@@ -57,14 +72,10 @@ def signatures(texts: DataFrame, sides: int, samples: int = SAMPLES, rounds: int
         *[F.sum((F.col("s") == s).cast("int")).alias(f"n{s}") for s in range(sides)]
     )
     per_round = samples // rounds
-    drawn = counts.withColumn("round", F.explode(F.array(*[F.lit(i) for i in range(rounds)])))
-    mins = []
-    for i in range(per_round):
-        r, log_c, b = _draws(F.col("word"), F.col("round") * per_round + i)
-        for s in range(sides):
-            entry = _entry(F.col("word"), F.ln(F.col(f"n{s}").cast("double")), r, log_c, b)
-            mins.append(F.min(F.when(F.col(f"n{s}") > 0, entry)).alias(f"m{s}_{i}"))
-    low = drawn.groupBy("k0", "k1", "round").agg(*mins)
+    # ln(0) is null, and so is every entry of a word that the side does not have.
+    logged = counts.select("k0", "k1", "word", *[F.ln(F.col(f"n{s}").cast("double")).alias(f"l{s}") for s in range(sides)])
+    entries = _drawn(logged.withColumn("round", F.explode(F.array(*[F.lit(i) for i in range(rounds)]))), sides, per_round)
+    low = entries.groupBy("k0", "k1", "round").agg(*[F.min(f"e{s}_{i}").alias(f"m{s}_{i}") for s in range(sides) for i in range(per_round)])
     width = BITS // 4
     text = lambda c: F.lpad(F.hex(F.coalesce(F.col(c), F.lit(0)).bitwiseAND((1 << BITS) - 1)), width, "0")
     rows = low.select("k0", "k1", "round", *[F.lower(F.concat(*[text(f"m{s}_{i}") for i in range(per_round)])).alias(f"f{s}") for s in range(sides)])
