@@ -347,7 +347,7 @@ def score(docs: DataFrame, how: Config = Config(), doc_id: str = "doc_id", text:
     common = len(vocab.number)
     schema = (
         "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_rare long, "
-        "rare array<struct<h: long, k: long>>"
+        "rare array<long>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,10 +368,9 @@ def score(docs: DataFrame, how: Config = Config(), doc_id: str = "doc_id", text:
             rare = (ids < 0) | (ids >= common)
             near = ids[~rare]
             model_ids = np.where(rare | (ids > v.rare), v.rare, ids).astype(np.int32)
-            h, k = np.unique(ids[rare], return_counts=True)
             fixed = v.within_rare[near[near >= v.rare]].sum()
             known = int((v.counts[near] > 0).sum())
-            for c, x in zip(cols, (len(ids), known, float(v.base[near].sum()), fixed, int(rare.sum()), list(zip(h.tolist(), k.tolist())))):
+            for c, x in zip(cols, (len(ids), known, float(v.base[near].sum()), fixed, int(rare.sum()), ids[rare])):
                 c.append(x)
             all_ids.append(model_ids)
             lengths.append(len(ids))
@@ -383,15 +382,15 @@ def score(docs: DataFrame, how: Config = Config(), doc_id: str = "doc_id", text:
         for at in range(0, len(flat), 1 << 15):
             logs.append(scorer.log10(ctx[at : at + (1 << 15)], flat[at : at + (1 << 15)]))
         neural = np.add.reduceat(np.concatenate(logs), starts) + np.array(cols[3])
-        rare_type = pa.list_(pa.struct([("h", pa.int64()), ("k", pa.int64())]))
-        rare_rows = [[{"h": h, "k": k} for h, k in r] for r in cols[5]]
-        arrays = [b.column(0), b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(neural, pa.float64()), pa.array(cols[4], pa.int64()), pa.array(rare_rows, rare_type)]
+        ends = np.concatenate([[0], np.cumsum(cols[4])]).astype(np.int32)
+        rare_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cols[5])))
+        arrays = [b.column(0), b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(neural, pa.float64()), pa.array(cols[4], pa.int64()), rare_lists]
         return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")[:7]] + ["rare"])
 
     near = rows.select("doc_id", "t", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     near = staged(near, "scored")
-    rare = near.select("row", F.inline("rare")).join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    sums = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"))
+    rare = near.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
+    sums = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("logs"), F.sum((F.col("c") > 0).cast("long")).alias("more"))
     out = near.drop("rare").join(sums, "row", "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0).cast("long"))
     base_norm = math.log10(total + 0.5 * (distinct + 1))
