@@ -1,7 +1,7 @@
 """Cutting a series into short chunks changes nothing."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from conftest import SF, rows
 from wattline.config import BacktestConfig, Chunking, SignalConfig
@@ -117,3 +117,18 @@ def test_strategies_share_one_market_pass(scored):
         alone = backtest.backtest(scored, BacktestConfig(signal=SignalConfig(new_signal=new)))
         part = joint.where(F.col("strategy_name") == name)
         assert rows(part.select(*names), 5) == rows(alone.select(*names), 5)
+
+
+def test_a_series_is_many_tasks(spark):
+    """With short chunks the rows of one series lie in several partitions after gap repair."""
+    start = F.to_timestamp(F.lit("2024-01-01"))
+    rows = spark.range(2000).select(F.lit("Z0").alias("series_id"), F.timestamp_seconds(F.unix_timestamp(start) + F.col("id") * 3600).alias(TS), F.col("id").cast("double").alias("x"))
+    part = chunks.split(rows, TS, back=3, chunking=Chunking(rows=48))
+    w = Window.partitionBy(*chunks.chunk_keys(KEYS)).orderBy(TS)
+    out = chunks.core(part.withColumn("m", F.avg("x").over(w.rowsBetween(-3, 0))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tiny here
+    try:
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert out.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

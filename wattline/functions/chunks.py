@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT_CHUNKING, Chunking
+from ..schema import KEYS
 
 CHUNK = "_chunk"
 HALO = "_halo"
@@ -32,20 +33,30 @@ def split(
     ahead: int = 0,
     chunking: Chunking = DEFAULT_CHUNKING,
     index: str | None = None,
+    keys=KEYS,
 ) -> DataFrame:
-    """Add ``_chunk`` and ``_halo``; rows within ``back``/``ahead`` of a cut appear on both sides."""
+    """Add ``_chunk`` and ``_halo``; rows within ``back``/``ahead`` of a cut appear on both sides.
+
+    Rows are dealt out by (keys, chunk). Left to itself Spark keeps whatever partitioning by series a
+    frame already has, since that also serves windows by chunk, and a series would be one task.
+    """
     i = F.col(index) if index else hour_index(ts)
     home = F.floor(i / F.lit(chunking.rows))
     if not back and not ahead:
-        return df.withColumn(CHUNK, home).withColumn(HALO, F.lit(False))
+        return _dealt(df.withColumn(CHUNK, home).withColumn(HALO, F.lit(False)), keys)
     first = F.floor((i - F.lit(ahead)) / F.lit(chunking.rows))
     last = F.floor((i + F.lit(back)) / F.lit(chunking.rows))
-    return (
+    cut = (
         df.withColumn("_home", home)
         .withColumn(CHUNK, F.explode(F.sequence(first, last)))
         .withColumn(HALO, F.col(CHUNK) != F.col("_home"))
         .drop("_home")
     )
+    return _dealt(cut, keys)
+
+
+def _dealt(df: DataFrame, keys) -> DataFrame:
+    return df.repartition(*[k for k in keys if k in df.columns], CHUNK)
 
 
 def core(df: DataFrame, keep_chunk: bool = False) -> DataFrame:

@@ -928,10 +928,10 @@ def streaming_upsert(spark, sf):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
     def current(session):
-        try:
-            return session.read.parquet(out).withColumn("month", F.col("month").cast("string"))
-        except Exception:  # noqa: BLE001 - nothing has been written before the first batch
-            return None
+        folder = session._jvm.org.apache.hadoop.fs.Path(out)
+        if not folder.getFileSystem(session._jsc.hadoopConfiguration()).exists(folder):
+            return None  # before the first batch; any other failed read must not look like it
+        return session.read.parquet(out).withColumn("month", F.col("month").cast("string"))
 
     run = (
         stream.writeStream.foreachBatch(flows.upsert_sink(out, current, tie_break=["event_id"]))

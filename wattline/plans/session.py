@@ -6,14 +6,6 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """UTC times; joins may reuse a partitioning by (series, chunk); small stages keep their tasks.
-
-    Without the second setting Spark would shuffle chunked frames again for each join that also
-    compares the time. Chunks are the unit of size here, so the partitions it keeps are even. Window
-    stages cost far more per byte than scans, so adaptive merging stops at 64 kB instead of 1 MB; at
-    scale partitions are larger and nothing changes. No gain was measured from it on one machine yet.
-    """
+    """UTC times. Partitioning is stated where it matters (``chunks.split``), not by settings."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return spark
