@@ -928,8 +928,8 @@ def streaming_upsert(spark, sf):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
     def current(session):
-        folder = session._jvm.org.apache.hadoop.fs.Path(out)
-        if not folder.getFileSystem(session._jsc.hadoopConfiguration()).exists(folder):
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
+        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return None  # before the first batch; any other failed read must not look like it
         return session.read.parquet(out).withColumn("month", F.col("month").cast("string"))
 
