@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators import quality
+from conftest import SF, rows
+from wattline.operators import forecast, quality
+from wattline.plans import catalog
 
 
 def _hours(spark, rows):
@@ -28,3 +30,26 @@ def test_one_empty_series_is_refused(spark):
         quality.require_input(_hours(spark, full + none), ["x"])
     with pytest.raises(ValueError, match="empty"):
         quality.require_input(_hours(spark, []), ["x"])
+
+
+class _FirstColumnOnly:
+    """A model that uses one feature of two."""
+
+    def transform(self, df):
+        from pyspark.ml.functions import vector_to_array
+
+        return df.withColumn("_pred", vector_to_array("_features")[0])
+
+
+def test_ablation_keeps_series_apart_and_scores_all_rows(spark):
+    data = [(k, float(i), float(7 * i % 11)) for k, base in (("a", 0), ("b", 1000)) for i in range(base, base + 200)]
+    df = spark.createDataFrame(data, "series_id string, x double, z double")
+    got = {r["feature"]: r["ablation_impact"] for r in forecast.ablation_impact(_FirstColumnOnly(), df, ["x", "z"]).collect()}
+    assert got == {"x": 50.0, "z": 0.0}
+
+
+@pytest.mark.parametrize("name", ["streaming_rollup", "streaming_windows", "streaming_dedupe"])
+def test_stream_of_a_folder_equals_stream_of_one_file(spark, tmp_path, name):
+    many = str(tmp_path)
+    spark.read.parquet(f"{SF}/events.parquet").repartition(12, "event_id").write.parquet(f"{many}/events.parquet")
+    assert rows(catalog.QUERIES[name](spark, many)) == rows(catalog.QUERIES[name](spark, SF))

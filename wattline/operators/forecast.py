@@ -463,27 +463,21 @@ def feature_importance(model, cols, spark, n: int = 20) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in values], "feature string, importance double")
 
 
-def ablation_impact(model, df: DataFrame, cols, max_features: int = 12, sample_rows: int = 128, ts: str = TS) -> DataFrame:
-    """Mean absolute change of the prediction when one feature is replaced by its sample median.
+def ablation_impact(model, df: DataFrame, cols, keys=KEYS) -> DataFrame:
+    """Mean absolute change of the prediction over all rows when one feature is replaced by its median in the series.
 
-    The sample of 128 rows is part of the definition. Rows are multiplied by feature, so all
-    replacements are scored in one transform.
+    Each row carries its own prediction through the replacements, so nothing is joined back.
+    A feature that is null in a whole series stays null there.
     """
-    sample = df.orderBy(ts).limit(sample_rows).select(ts, *[F.col(c).cast("double").alias(c) for c in cols])
-    medians = sample.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in cols]).first().asDict()
-    subset = list(cols)[:max_features]
-    which = F.explode(F.array(F.lit(""), *[F.lit(c) for c in subset])).alias("feature")
-    spread = sample.select("*", which).withColumns(
-        {c: F.when(F.col("feature") == c, F.lit(medians[c])).otherwise(F.col(c)) for c in subset}
-    )
-    scored = model.transform(assembled(spread, cols)).select(ts, "feature", F.col("_pred").alias("p"))
-    base = scored.where("feature = ''").select(ts, F.col("p").alias("base"))
-    return (
-        scored.where("feature <> ''")
-        .join(base, ts)
-        .groupBy("feature")
-        .agg(F.avg(F.abs(F.col("p") - F.col("base"))).alias("ablation_impact"))
+    cols, keys = list(cols), list(keys)
+    base = model.transform(assembled(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
+    medians = df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in cols])
+    rows = base.select(*keys, *cols, F.col("_pred").alias("_base")).join(medians, keys)
+    spread = rows.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols]))).select(
+        "feature", "_base", *[F.when(F.col("feature") == c, F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for c in cols]
     )
+    scored = model.transform(assembled(spread, cols))
+    return scored.groupBy("feature").agg(F.avg(F.abs(F.col("_pred") - F.col("_base"))).alias("ablation_impact"))
 
 
 # ---------------------------------------------------------------- trainers

@@ -124,7 +124,7 @@ def decision_events(
 
 
 def research_summary(significance: DataFrame, provenance: DataFrame, keys=KEYS) -> DataFrame:
-    """Facts of a research note per series: baselines not beaten, coverage text, grade.
+    """Facts of a research note per series, as codes and numbers: edge, coverage, baselines not beaten, grade.
 
     The list holds at most one name per baseline.
     """
@@ -138,26 +138,12 @@ def research_summary(significance: DataFrame, provenance: DataFrame, keys=KEYS)
             )
         ).alias("_weak"),
     )
-    pct = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
-    return (
-        provenance.join(facts, list(keys), "left")
-        .withColumn("not_beaten", F.concat_ws(", ", "_weak"))
-        .select(
-            *keys,
-            F.when(
-                F.col("_weak").isNull(), F.lit("Insufficient significance evidence; treat results as exploratory.")
-            )
-            .otherwise(
-                F.lit("Edge appears strongest when imbalance and spread regimes align with the combined signal.")
-            )
-            .alias("edge_summary"),
-            F.concat(
-                F.lit("Synthetic coverage: "), pct("synthetic_coverage_ratio"),
-                F.lit("; partial synthetic coverage: "), pct("partial_synthetic_coverage_ratio"), F.lit("."),
-            ).alias("coverage"),
-            F.when(F.col("not_beaten") != "", F.concat(F.lit("No significant outperformance versus: "), "not_beaten", F.lit(".")))
-            .otherwise(F.lit(""))
-            .alias("weakness"),
-            F.col("research_grade"),
-        )
+    return provenance.join(facts, list(keys), "left").select(
+        *keys,
+        F.when(F.col("_weak").isNull(), F.lit("untested")).when(F.size("_weak") == 0, F.lit("beats_all")).otherwise(F.lit("beaten"))
+        .alias("edge"),
+        F.round(F.col("synthetic_coverage_ratio") * 100, 1).alias("synthetic_percent"),
+        F.round(F.col("partial_synthetic_coverage_ratio") * 100, 1).alias("partial_synthetic_percent"),
+        F.concat_ws(",", "_weak").alias("not_beaten"),
+        F.col("research_grade"),
     )

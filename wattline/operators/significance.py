@@ -62,16 +62,17 @@ def bootstrap(
 
 
 def _poisson(wide, streams, annualization, seed, keys, index, reps) -> DataFrame:
-    # Inverse transform of a 48-bit uniform; beyond 12 the mass is below 1e-10.
-    cuts, mass, total = [], math.exp(-1.0), 0.0
-    for k in range(13):
-        total += mass
+    # Inverse transform of a 48-bit uniform. Steps go on until no draw can lie beyond the last one.
+    cuts, mass, total, k = [], math.exp(-1.0), math.exp(-1.0), 0
+    while total <= 1.0 - 2.0**-48:
         cuts.append(total)
-        mass /= k + 1
+        k += 1
+        mass /= k
+        total += mass
     rows = wide.select(*keys, index, *streams, reps)
     u = draw(seed, F.col("replicate"), F.col(index)) / F.lit(float(1 << 48))
     weight = F.lit(0.0)
-    for c in cuts[:-1]:
+    for c in cuts:
         weight = weight + (u >= c).cast("double")
     rows = rows.withColumn("_w", weight)
     n = F.sum("_w")

@@ -868,8 +868,8 @@ def decision_log_json(spark, sf):
 
 def _event_stream(spark, sf):
     source = base.table(spark, sf, "events")
-    # A stream reads a folder; the table is one file, so its folder is filtered by name.
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # A pattern, as a stream takes a plain path for a folder only; the table may be one file or a folder of parts.
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parque[t]")
     return stream.withColumns(
         {"series_id": F.concat(F.lit("Z"), (F.col("user_id") % 4).cast("string")), TS: F.col("ts").cast("timestamp")}
     )
@@ -890,22 +890,44 @@ def _drain(spark, frame, name, mode="append"):
     return spark.read.schema(frame.schema).parquet(out)
 
 
+def _drain_updates(spark, frame, name):
+    """Run a stream in update mode; of each (series, time) the last batch that changed it counts.
+
+    Nothing waits in the state for a watermark, so the result is complete when the input ends.
+    """
+    out, state = _scratch(spark, name), _scratch(spark, f"{name}-state")
+
+    def write(batch, i):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    frame.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode("update").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    values = [c for c in frame.columns if c not in (*KEYS, TS)]
+    last = F.max_by(F.struct(*values), "batch").alias("v")
+    return spark.read.parquet(out).groupBy(*KEYS, TS).agg(last).select(*KEYS, TS, "v.*")
+
+
+#: The files of the table follow no order of time, so state is kept for longer than it spans.
+ANY_ORDER = "40 days"
+
+
 @query
 def streaming_rollup(spark, sf):
-    frame = flows.hourly_rollup(_event_stream(spark, sf), ["value"], delay="0 seconds")
-    return present(_drain(spark, frame, "rollup"))
+    frame = flows.hourly_rollup(_event_stream(spark, sf), ["value"], delay=ANY_ORDER)
+    return present(_drain_updates(spark, frame, "rollup"))
 
 
 @query
 def streaming_dedupe(spark, sf):
     frame = _event_stream(spark, sf).withColumn(TS, F.date_trunc("hour", TS)).select(*KEYS, TS)
-    return present(_drain(spark, flows.dedupe(frame, delay="40 days"), "dedupe"))
+    return present(_drain(spark, flows.dedupe(frame, delay=ANY_ORDER), "dedupe"))
 
 
 @query
 def streaming_windows(spark, sf):
-    frame = flows.sliding_features(_event_stream(spark, sf), "value", delay="0 seconds")
-    return present(_drain(spark, frame, "windows"))
+    frame = flows.sliding_features(_event_stream(spark, sf), "value", delay=ANY_ORDER)
+    return present(_drain_updates(spark, frame, "windows"))
 
 
 @query

@@ -300,11 +300,12 @@ boot AS (SELECT series_id, rep, {cols} FROM picks JOIN streams USING (series_id,
 
 def poisson(iterations: int, streams, source: str) -> str:
     """Replicates with Poisson(1) row weights from the same hash."""
-    cuts, mass, total = [], math.exp(-1.0), 0.0
-    for k in range(12):
-        total += mass
+    cuts, mass, total, k = [], math.exp(-1.0), math.exp(-1.0), 0
+    while total <= 1.0 - 2.0**-48:
         cuts.append(total)
-        mass /= k + 1
+        k += 1
+        mass /= k
+        total += mass
     weight = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in cuts)
     sums = ", ".join(f"sum(w * {s}) AS a_{s}, sum(w * {s} * {s}) AS q_{s}" for s in streams)
     cols = ", ".join(
@@ -569,15 +570,11 @@ counted AS (
     "anomaly_summary": with_(BASE, ANOMALY, """
 seen AS (
   SELECT series_id, bool_or(missing > 0) AS m, bool_or(spike_count > 0) AS s, bool_or(structural_break) AS b FROM report GROUP BY 1)""") + (
-        "SELECT series_id, CASE WHEN s OR b THEN 'high' ELSE 'low' END AS severity, concat_ws(' ', "
-        "CASE WHEN m THEN 'Missing values remain in numeric columns.' END, "
-        "CASE WHEN s THEN 'Detected heavy-tailed spikes in market variables.' END, "
-        "CASE WHEN b THEN 'Detected potential structural breaks between early and late samples.' END, "
-        "CASE WHEN NOT (m OR s OR b) THEN 'No major anomalies detected beyond normal market volatility.' END) AS issues, concat_ws(' ', "
-        "CASE WHEN m THEN 'Interpolate short gaps and flag longer missing runs in research outputs.' END, "
-        "CASE WHEN s THEN 'Winsorize only for diagnostics and keep raw prices for trading realism.' END, "
-        "CASE WHEN b THEN 'Tag break periods as separate regimes in evaluation slices.' END, "
-        "CASE WHEN NOT (m OR s OR b) THEN 'Retain current cleaning rules.' END) AS actions FROM seen"
+        "SELECT series_id, CASE WHEN s OR b THEN 'high' ELSE 'low' END AS severity, concat_ws(',', "
+        "CASE WHEN m THEN 'missing' END, CASE WHEN s THEN 'spikes' END, CASE WHEN b THEN 'breaks' END, "
+        "CASE WHEN NOT (m OR s OR b) THEN 'none' END) AS issues, concat_ws(',', "
+        "CASE WHEN m THEN 'interpolate_short_gaps' END, CASE WHEN s THEN 'keep_raw_prices' END, "
+        "CASE WHEN b THEN 'evaluate_by_regime' END, CASE WHEN NOT (m OR s OR b) THEN 'keep_rules' END) AS actions FROM seen"
     ),
     "frame_stats": B + f"SELECT count(*) AS rows, 7::BIGINT AS columns, strftime(min(timestamp_utc), {DATE}) AS first_ts, "
     f"strftime(max(timestamp_utc), {DATE}) AS last_ts FROM panel",
@@ -792,12 +789,10 @@ cut AS (SELECT series_id, coalesce(quantile_cont(v, 0.7), 0.0) AS c FROM dv GROU
     "scored_csv_round_trip": B + out("series_id", "scored", **same(P, PREDS[0])),
     "decision_log_json": T + EVENT,
     "streaming_decision_log": T + EVENT,
-    "streaming_rollup": B + f"SELECT series_id, strftime(h, {DATE}) AS timestamp_utc, {rnd('avg(value)')} AS value FROM ev "
-    "WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY series_id, h",
+    "streaming_rollup": B + f"SELECT series_id, strftime(h, {DATE}) AS timestamp_utc, {rnd('avg(value)')} AS value FROM ev GROUP BY series_id, h",
     "streaming_windows": B + f"SELECT series_id, strftime(e, {DATE}) AS timestamp_utc, {rnd('avg(value)')} AS value_mean_24h, "
     f"{rnd('stddev_samp(value)')} AS value_std_24h, count(value) AS n FROM "
-    "(SELECT *, unnest(generate_series(h + INTERVAL 1 HOUR, h + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS e FROM ev) "
-    "WHERE e <= (SELECT max(ts) FROM events) GROUP BY series_id, e",
+    "(SELECT *, unnest(generate_series(h + INTERVAL 1 HOUR, h + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS e FROM ev) GROUP BY series_id, e",
     "streaming_dedupe": B + f"SELECT DISTINCT series_id, strftime(h, {DATE}) AS timestamp_utc FROM ev",
     "streaming_ramp": T + out("series_id", "result", plain=("late",), position_after="target_position_constrained", late="false"),
     "streaming_upsert": B + f"SELECT series_id, strftime(timestamp_utc, {DATE}) AS timestamp_utc, {rnd(P)} AS {P}, data_quality, event_id FROM {best('cand')}",
