@@ -575,7 +575,7 @@ def price_moves(spark, sf):
 def _bootstrap(spark, sf, method="iid"):
     rows = stage(_strategies(spark, sf))
     wide = stage(significance.wide_returns(rows, list(compare.STRATEGIES)))
-    return stage(significance.bootstrap(wide, list(compare.STRATEGIES), iterations=50, method=method))
+    return stage(significance.bootstrap(wide, list(compare.STRATEGIES), method=method))
 
 
 @query
@@ -598,7 +598,7 @@ def poisson_bootstrap_ci(spark, sf):
 def bootstrap_prices(spark, sf):
     """Interval of one stream per series: hourly price steps on the dense daily panel."""
     rows = backtest.price_moves(base.clean(spark, sf).select(*KEYS, TS, PRICE))
-    return present(significance.bootstrap_sharpe(rows, iterations=20, value="price_change_eur_mwh"))
+    return present(significance.bootstrap_sharpe(rows, value="price_change_eur_mwh"))
 
 
 @query
@@ -606,7 +606,7 @@ def compared_streams(spark, sf):
     rows = base.clean(spark, sf)
     a = rows.select(*KEYS, TS, (F.col(PRICE) - F.col(DAY_AHEAD)).alias("strategy_return"))
     b = rows.select(*KEYS, TS, F.col(RENEWABLE).alias("strategy_return"))
-    return present(significance.compare_streams(a, b, iterations=20))
+    return present(significance.compare_streams(a, b))
 
 
 @query
@@ -733,7 +733,7 @@ def compared_models(spark, sf):
     rows = _features(spark, sf)
     few = lambda f, fc, k, t: forecast.fit_additive(f, REGRESSORS[:1], fc, keys=k, ts=t)[0]
     more = lambda f, fc, k, t: forecast.fit_additive(f, REGRESSORS, fc, keys=k, ts=t)[0]
-    fc = ForecastConfig(base.FOLDS.train_days, base.FOLDS.test_days, bootstrap_iterations=20)
+    fc = ForecastConfig(base.FOLDS.train_days, base.FOLDS.test_days)
     ranked, failures = compare.compare_models(rows, {"few": few, "more": more}, fc=fc)
     if ranked is None:
         raise RuntimeError(failures)

@@ -722,14 +722,14 @@ bent(series_id, rn, e, r) AS (
     "trade_counts": T + "SELECT series_id, count(*) FILTER (WHERE turnover > 1e-6) AS trade_count, count(*) FILTER (WHERE decision <> 'HOLD') AS label_count FROM result GROUP BY 1",
     "price_moves": B + out("series_id", MOVES, **{P: P, "price_change_eur_mwh": "mv", "price_return": "rt"}),
     # significance
-    "bootstrap_ci": with_(BASE, MARKET, TRADES, draws(50, STRATEGIES, WIDE)) + CI,
-    "paired_significance": with_(BASE, MARKET, TRADES, draws(50, STRATEGIES, WIDE)) + PAIRS,
-    "poisson_bootstrap_ci": with_(BASE, MARKET, TRADES, poisson(50, STRATEGIES, WIDE)) + CI,
-    "bootstrap_prices": with_(BASE, draws(20, ("own",), f"SELECT series_id, row_number() OVER ({W}) - 1 AS rn0, mv AS own FROM {MOVES}"))
+    "bootstrap_ci": with_(BASE, MARKET, TRADES, draws(250, STRATEGIES, WIDE)) + CI,
+    "paired_significance": with_(BASE, MARKET, TRADES, draws(250, STRATEGIES, WIDE)) + PAIRS,
+    "poisson_bootstrap_ci": with_(BASE, MARKET, TRADES, poisson(250, STRATEGIES, WIDE)) + CI,
+    "bootstrap_prices": with_(BASE, draws(250, ("own",), f"SELECT series_id, row_number() OVER ({W}) - 1 AS rn0, mv AS own FROM {MOVES}"))
     + f"SELECT series_id, {rnd('any_value(s)')} AS sharpe, {rnd('quantile_cont(sh_own, 0.025)')} AS ci_lower, {rnd('quantile_cont(sh_own, 0.975)')} AS ci_upper "
     "FROM boot JOIN (SELECT series_id, avg(own) / stddev_samp(own) * sqrt(24.0) AS s FROM streams GROUP BY 1) USING (series_id) GROUP BY 1",
     "compared_streams": with_(
-        BASE, draws(20, ("a", "b"), f"SELECT series_id, row_number() OVER ({W}) - 1 AS rn0, coalesce({P} - {DA}, 0.0) AS a, coalesce({R}, 0.0) AS b FROM clean")
+        BASE, draws(250, ("a", "b"), f"SELECT series_id, row_number() OVER ({W}) - 1 AS rn0, coalesce({P} - {DA}, 0.0) AS a, coalesce({R}, 0.0) AS b FROM clean")
     ) + pair("a", "b", "", 4),
     # forecasting
     "walk_forward_folds": with_(BASE, FOLDS) + "SELECT series_id, fold::BIGINT AS fold, (fold * 168)::BIGINT AS train_start, (fold * 168 + w)::BIGINT AS train_end, "
