@@ -36,10 +36,8 @@ class Config:
     common: int = 1 << 16
     size: int = 24
     context: int = 4
-    #: Share of the positions of every training text that training visits, and how many at least if there are.
-    visit: float = 1 / 32
-    least_visits: int = 1_500_000
-    rounds: int = 2
+    #: Every position of the training texts is visited once, in one of so many rounds.
+    rounds: int = 1
     noise: int = 20
     batch: int = 512
     rate: float = 0.1
@@ -230,11 +228,12 @@ def contexts(ids: np.ndarray, width: int) -> np.ndarray:
     return np.stack([padded[width - 1 - i : len(padded) - 1 - i] for i in range(width)], axis=1)
 
 
-def train(rows: DataFrame, vocab: Vocabulary, how: Config) -> dict[str, np.ndarray]:
-    """Rounds of parallel training over all of ``rows`` (t); only parameters, in at most 16 sums, reach the driver."""
+def train(rows: DataFrame, vocab: Vocabulary, how: Config) -> tuple[dict[str, np.ndarray], int]:
+    """Parameters and positions visited. Training is parallel, over all of ``rows`` (t); only parameters, in at most 16
+    sums a round, reach the driver.
+    """
     spark = rows.sparkSession
-    p = initial(vocab, how)
-    visit = min(1.0, max(how.visit, how.least_visits / max(1, vocab.total)) / how.rounds)
+    p, all_visited = initial(vocab, how), 0
     names = spark.sparkContext.broadcast(vocab)
     for round_ in range(how.rounds):
         sent = spark.sparkContext.broadcast(p)
@@ -249,7 +248,7 @@ def train(rows: DataFrame, vocab: Vocabulary, how: Config) -> dict[str, np.ndarr
                     tokens = (t.as_py() or b"").lower().split()
                     ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
                     ids = np.append(np.where((ids < 0) | (ids > rare), rare, ids), 0).astype(np.int32)
-                    seen = np.flatnonzero(trainer.rng.random(len(ids)) < visit)
+                    seen = np.arange(round_, len(ids), how.rounds)
                     if len(seen):
                         held.append((contexts(ids, how.context)[seen], ids[seen]))
                         held_n += len(seen)
@@ -269,10 +268,11 @@ def train(rows: DataFrame, vocab: Vocabulary, how: Config) -> dict[str, np.ndarr
         sums = sorted(done.mapInArrow(_weighted_sum, "part long, n long, p binary").collect())
         visited = sum(r["n"] for r in sums)
         if not visited:
-            break
+            continue
+        all_visited += visited
         mean = sum(np.frombuffer(r["p"], dtype="<f8") for r in sums) / visited
         p = unpack_parameters(mean, p)
-    return p
+    return p, all_visited
 
 
 def _visit(trainer: Trainer, held: list, how: Config) -> int:
@@ -342,7 +342,7 @@ def score(docs: DataFrame, how: Config = Config(), doc_id: str = "doc_id", text:
     end = counts.where(F.col("h") == END).agg(F.sum("c")).first()[0] or 0
     top = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(how.common - 1).collect()  # a fixed bound
     vocab = Vocabulary([END, *(r["h"] for r in top)], [end, *(r["c"] for r in top)], total, distinct, how)
-    p = train(learned, vocab, how)
+    p, _ = train(learned, vocab, how)
     model = spark.sparkContext.broadcast((vocab, p))
     common = len(vocab.number)
     schema = (
