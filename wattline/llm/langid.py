@@ -15,21 +15,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import staged
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 MOST_WORDS = 300_000
+#: The class of all languages that no row declares; no tag is empty.
+OTHER = ""
 
 
 @dataclass(frozen=True)
 class Config:
-    """languages: most languages told apart. trigrams: size of the model. Both bound what is broadcast."""
+    """trigrams: those commonest over all languages; own_trigrams: those commonest in each one. Together they are the model."""
 
-    languages: int = 64
     trigrams: int = 20_000
-    least_share: float = 0.001
+    own_trigrams: int = 1_000
+    #: Share of trigrams that a language without any declared text is expected to have beyond the model's.
+    unknown: float = 0.3
+    #: Odds that a text is in such a language before it is read; a few letters alone do not overcome them.
+    undeclared: float = 0.001
     #: Trigrams count as so many independent observations at most.
     effective: float = 30.0
     smoothing: float = 20.0
@@ -76,7 +81,7 @@ def declared_in(html: Column) -> Column:
     return F.regexp_extract(html, r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
 
 
-def _count(rows: DataFrame, languages: list[str]) -> DataFrame:
+def _count(rows: DataFrame) -> DataFrame:
     """(tag, gram, n): each task counts words by declared language and takes them apart once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,48 +112,52 @@ def _count(rows: DataFrame, languages: list[str]) -> DataFrame:
             arrays = [pa.array([tag] * len(total)), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["tag", "gram", "n"])
 
-    tagged = rows.where(F.col("tag").isin(languages)).select("tag", "t")
+    tagged = rows.where("tag IS NOT NULL").select("tag", "t")
     return tagged.mapInArrow(run, "tag string, gram string, n long").groupBy("tag", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, how: Config = Config()) -> tuple[list[str], dict[str, list[float]]]:
-    """Languages and log-probabilities of the commonest trigrams ('' stands for all others), from (tag, t).
+def train(rows: DataFrame, how: Config = Config()) -> tuple[list[str], list[str], np.ndarray]:
+    """Languages, trigrams ('' stands for all others) and their log-probabilities (trigram, language), from (tag, t).
 
-    Languages are the declared tags with at least ``least_share`` of the tagged rows. Counts cover all tagged rows
-    and whole texts. A language's prior is not part of it.
+    Languages are all declared tags, however rare; the last one is ``OTHER``. Counts cover all tagged rows and whole
+    texts, and each count is smoothed by the same half, so a tag with little text claims little. ``OTHER`` has the
+    mean of all languages, flattened, and a larger share of trigrams beyond the model. A language's prior is not part of it.
     """
-    tags = rows.where("tag IS NOT NULL").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(how.languages).collect()
-    all_ = sum(r["n"] for r in tags)
-    languages = sorted(r["tag"] for r in tags if r["n"] >= how.least_share * all_)
+    tags = rows.where("tag IS NOT NULL").select("tag").distinct().collect()  # two or three letters each
+    languages = sorted(r["tag"] for r in tags)
     if not languages:
-        return [], {}
-    counts = staged(_count(rows, languages), "trigram-counts")
+        return [], [], np.zeros((0, 0))
+    counts = staged(_count(rows), "trigram-counts")
     whole = {r["tag"]: r["n"] for r in counts.groupBy("tag").agg(F.sum("n").alias("n")).collect()}
-    top = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(how.trigrams)
-    got = counts.join(F.broadcast(top), "gram").select("tag", "gram", "n").collect()  # trigrams x languages at most
-    table: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(languages))
-    for r in got:
-        table[r["gram"]][languages.index(r["tag"])] = float(r["n"])
-    seen = np.array(list(table.values())) if table else np.zeros((0, len(languages)))
+    common = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(how.trigrams).select("gram")
+    place = Window.partitionBy("tag").orderBy(F.desc("n"), "gram")
+    own = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= how.own_trigrams).select("gram")
+    chosen = F.broadcast(common.unionByName(own).distinct())
+    got = counts.join(chosen, "gram").select("tag", "gram", "n").toArrow()
+    grams = sorted(set(got.column("gram").to_pylist()))
+    at, column = {g: i for i, g in enumerate(grams)}, {x: i for i, x in enumerate(languages)}
+    seen = np.zeros((len(grams) + 1, len(languages)))
+    row = np.fromiter((at[g] for g in got.column("gram").to_pylist()), np.int64, got.num_rows)
+    seen[row, np.fromiter((column[x] for x in got.column("tag").to_pylist()), np.int64, got.num_rows)] = got.column("n").to_numpy()
     total = np.array([float(whole.get(x, 0)) for x in languages])
-    rest = total - seen.sum(axis=0)
+    seen[-1] = total - seen.sum(axis=0)
     smooth = 0.5
-    space = total + smooth * (len(table) + 1)
-    logs = np.log((seen + smooth) / space)
-    model = {g: row.tolist() for g, row in zip(table, logs)}
-    model[""] = np.log((rest + smooth) / space).tolist()
-    return languages, model
+    seen += smooth
+    seen /= total + smooth * len(seen)
+    flat = np.sqrt(seen[:-1].mean(axis=1))
+    other = np.append(flat * ((1 - how.unknown) / max(flat.sum(), 1e-300)), how.unknown)
+    return [*languages, OTHER], [*grams, ""], np.log(np.concatenate([seen, other[:, None]], axis=1)).astype(np.float32)
 
 
-def likelihoods(rows: DataFrame, languages: list[str], model: dict[str, list[float]], how: Config = Config()) -> DataFrame:
+def likelihoods(rows: DataFrame, languages: list[str], grams: list[str], table: np.ndarray, how: Config = Config()) -> DataFrame:
     """``rows`` (id, tag, host, t) -> (id, tag, host, letters, ll array): tempered log-likelihood per language, 0 at best."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most trigrams x languages numbers
+    shared = rows.sparkSession.sparkContext.broadcast((grams, table))  # trigrams x languages numbers
     k = len(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_ = {g: i for i, g in enumerate(shared.value)}
-        table = np.array(list(shared.value.values()), dtype=np.float64).reshape(len(model_), k)
-        other = model_.get("", 0)
+        grams_, table = shared.value
+        model_ = {g: i for i, g in enumerate(grams_)}
+        other = model_[""]
         index: dict[str, int] = {}
         sums = np.zeros((1 << 14, k))
         lengths = np.zeros(1 << 14, dtype=np.int64)
@@ -165,11 +174,12 @@ def likelihoods(rows: DataFrame, languages: list[str], model: dict[str, list[flo
                         if i >= len(sums):
                             sums, lengths = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([lengths, np.zeros_like(lengths)])
                         grams = [model_.get(g, other) for g in trigrams(w)]
-                        sums[i], lengths[i] = table[grams].sum(axis=0), len(grams)
+                        sums[i], lengths[i] = table[grams].sum(axis=0, dtype=np.float64), len(grams)
                     ids.append(i)
                 at = np.array(ids, dtype=np.int64)
                 n = lengths[at].sum()
                 ll = sums[at].sum(axis=0) * min(1.0, how.effective / max(1, n))
+                ll[-1] += np.log(how.undeclared)
                 lls.append((ll - ll.max()).tolist())
                 if len(index) > MOST_WORDS:
                     index.clear()
@@ -181,11 +191,12 @@ def likelihoods(rows: DataFrame, languages: list[str], model: dict[str, list[flo
 
 def _log_rates(first: DataFrame, given: str, languages: list[str], kappa: float) -> DataFrame:
     """(given, e array): log P(given | language), smoothed towards P(given), from the text's own decisions."""
-    joint = first.groupBy(given).agg(*[F.sum((F.col("best") == x).cast("double")).alias(x) for x in languages])
-    joint = joint.withColumn("all", sum((F.col(x) for x in languages), F.lit(0.0)))
-    per = joint.agg(*[F.sum(x).alias(x) for x in [*languages, "all"]]).first()
+    names = [f"in_{x}" for x in languages]
+    joint = first.groupBy(given).agg(*[F.sum((F.col("best") == x).cast("double")).alias(f"in_{x}") for x in languages])
+    joint = joint.withColumn("all", F.aggregate(F.array(*[F.coalesce(F.col(x), F.lit(0.0)) for x in names]), F.lit(0.0), lambda a, b: a + b))
+    per = joint.agg(*[F.sum(x).alias(x) for x in [*names, "all"]]).first()
     total = max(1.0, per["all"] or 0.0)
-    e = F.array(*[F.log((F.col(x) + kappa * (F.col("all") + 1) / (total + 1)) / ((per[x] or 0.0) + kappa)) for x in languages])
+    e = F.array(*[F.log((F.col(x) + kappa * (F.col("all") + 1) / (total + 1)) / ((per[x] or 0.0) + kappa)) for x in names])
     return joint.select(F.col(given).alias(f"{given}_"), F.when(F.col(given).isNotNull(), e).alias(f"{given}_e"))
 
 
@@ -195,7 +206,8 @@ def identify(docs: DataFrame, how: Config = Config()) -> DataFrame:
     Returns id, declared, language, posterior, letters, kept; one row per row of ``docs``. tag is the
     declared language, host the host or source; suffix and domain come from the host. language is null and
     the row is rejected where there is nothing to read (fewer than ``least_letters`` letters: null, empty or
-    symbols only) or no language reaches ``least_posterior``. Ties go to the language first in order.
+    symbols only), no language reaches ``least_posterior``, or the text is most likely in a language that no row
+    declares. Ties go to the language first in order.
     Without any declared language in the table nothing can be told apart: all languages are null, and rows
     with letters are kept. Repeated rows are judged each; an empty table gives no rows.
     """
@@ -203,8 +215,8 @@ def identify(docs: DataFrame, how: Config = Config()) -> DataFrame:
         F.col("id").cast("long").alias("id"), normal_tag(F.col("tag")).alias("tag"), F.col("host").cast("string").alias("host"),
         F.col("t").cast("string").alias("t"),
     )
-    languages, model = train(rows, how)
-    first = likelihoods(rows, languages, model, how) if languages else rows.select(
+    languages, grams, table = train(rows, how)
+    first = likelihoods(rows, languages, grams, table, how) if languages else rows.select(
         "id", "tag", "host", F.char_length(F.regexp_replace(F.coalesce("t", F.lit("")), r"[^\p{L}]", "")).cast("long").alias("letters"),
         F.array().cast("array<double>").alias("ll"),
     )
@@ -219,19 +231,20 @@ def identify(docs: DataFrame, how: Config = Config()) -> DataFrame:
     for given in ("tag", "suffix"):
         rates = _log_rates(first, given, languages, how.smoothing)
         first = first.join(rates, F.col(given).eqNullSafe(F.col(f"{given}_")), "left").drop(f"{given}_")
+    names_ = [f"in_{x}" for x in languages]
     # Priors from global to domain to host, each level drawn towards the one above.
-    share = lambda up, total: {x: (F.col(x) + how.smoothing * up(x)) / (F.col(total) + how.smoothing) for x in languages}
-    hits = [F.sum((F.col("best") == x).cast("double")).alias(x) for x in languages]
+    share = lambda up, total: {x: (F.col(x) + how.smoothing * up(x)) / (F.col(total) + how.smoothing) for x in names_}
+    hits = [F.sum((F.col("best") == x).cast("double")).alias(n) for x, n in zip(languages, names_)]
     per_host = staged(first.where("best IS NOT NULL").groupBy("host", "domain").agg(*hits, F.count("*").alias("n")), "hosts")
-    world = per_host.agg(*[F.sum(x).alias(x) for x in languages], F.sum("n").alias("n")).first()
-    every = {x: ((world[x] or 0.0) + 1.0) / ((world["n"] or 0) + len(languages)) for x in languages}
-    per_domain = per_host.groupBy("domain").agg(*[F.sum(x).alias(x) for x in languages], F.sum("n").alias("n"))
+    world = per_host.agg(*[F.sum(x).alias(x) for x in names_], F.sum("n").alias("n")).first()
+    every = {x: ((world[x] or 0.0) + 1.0) / ((world["n"] or 0) + len(languages)) for x in names_}
+    per_domain = per_host.groupBy("domain").agg(*[F.sum(x).alias(x) for x in names_], F.sum("n").alias("n"))
     per_domain = per_domain.select(F.col("domain").alias("d"), *[v.alias(f"d_{x}") for x, v in share(lambda x: F.lit(every[x]), "n").items()])
     hosts = per_host.join(per_domain, F.col("domain").eqNullSafe(F.col("d"))).select(
         F.col("host").alias("h"), F.array(*[F.log(v) for v in share(lambda x: F.col(f"d_{x}"), "n").values()]).alias("host_e")
     )
     first = first.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
-    prior = F.coalesce("host_e", F.array(*[F.log(F.lit(every[x])) for x in languages]))
+    prior = F.coalesce("host_e", F.array(*[F.log(F.lit(every[x])) for x in names_]))
     flat = F.array(*[F.lit(0.0)] * len(languages))
     total = prior
     for part in (F.col("ll"), F.coalesce("tag_e", flat), F.coalesce("suffix_e", flat)):
@@ -240,7 +253,7 @@ def identify(docs: DataFrame, how: Config = Config()) -> DataFrame:
     peak = F.array_max("total")
     norm = F.aggregate("total", F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))
     sure = (1.0 / norm) >= how.least_posterior
-    told = readable & sure
+    told = readable & sure & (best(F.col("total")) != OTHER)
     return scored.select(
         "id", F.col("tag").alias("declared"), F.when(told, best(F.col("total"))).alias("language"), (1.0 / norm).alias("posterior"),
         "letters", told.alias("kept"),
