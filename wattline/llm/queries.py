@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, fingerprints, langid, language_model, line_dedup, mixing, packing, sharding, simhash, toxicity
+from . import (
+    exact_dedup, fingerprints, langid, language_model, line_dedup, merkle, mixing, packing, prefix_trie, sharding, simhash, toxicity, warc,
+)
 from .common import documents, id_fold
 from .shipping import ship
 
@@ -89,3 +91,30 @@ def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(documents(spark, sf_dir))
+
+
+@query
+def op11_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    back = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op11_warc_chunks"] = warc.SQL
+
+
+@query
+def op12_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir)).drop("siblings")
+
+
+ORACLES["op12_merkle_climb"] = merkle.SQL
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.SQL
