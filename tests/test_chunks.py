@@ -29,11 +29,12 @@ def test_fill(aligned):
     assert rows(gaps.interpolate_and_fill(aligned, cols, chunking=SHORT)) == rows(gaps.interpolate_and_fill(aligned, cols))
 
 
-def test_missing_ranges_do_not_break_at_cuts(aligned, spark, monkeypatch):
+@pytest.mark.parametrize("force", [False, True])
+def test_missing_ranges_do_not_break_at_cuts(aligned, force):
     df = aligned.withColumn("data_quality", F.when(F.col(PRICE).isNotNull(), F.lit("real")))
-    want = rows(gaps.missing_ranges(df, [PRICE]))
-    monkeypatch.setattr(chunks.split, "__defaults__", (0, 0, SHORT, None))
-    assert rows(gaps.missing_ranges(df, [PRICE])) == want
+    want = rows(gaps.missing_ranges(df, [PRICE], force=force))
+    for size in (1, 2, 37):
+        assert rows(gaps.missing_ranges(df, [PRICE], force=force, chunking=Chunking(rows=size))) == want
 
 
 def test_carry_against_whole_series(aligned):

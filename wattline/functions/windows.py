@@ -25,14 +25,6 @@ def rolling_std(x: Column, w: WindowSpec, size: int, min_n: int | None = None) -
     return _guarded(x, F.stddev_samp(x), w.rowsBetween(1 - size, 0), min_n or size)
 
 
-def rolling_quantile(x: Column, q: float, w: WindowSpec, size: int, min_n: int | None = None) -> Column:
-    return _guarded(x, F.percentile(x, F.lit(q)), w.rowsBetween(1 - size, 0), min_n or size)
-
-
-def rolling_median(x: Column, w: WindowSpec, size: int, min_n: int | None = None) -> Column:
-    return rolling_quantile(x, 0.5, w, size, min_n)
-
-
 def diff(x: Column, w: WindowSpec, k: int = 1) -> Column:
     return x - F.lag(x, k).over(w)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DEFAULT_CHUNKING, BacktestConfig, Chunking
 from ..functions import chunks
 from ..functions.columns import at_least, clip, decision_label, flag, position_label, zero
+from ..functions.order_stats import quantile
 from ..functions.staging import stage
 from ..schema import INTRADAY, KEYS, PRED_PRICE, PRICE, SCORED_REQUIRED, TS, require_columns
 from . import folds
@@ -20,14 +21,11 @@ COSTS = ("transaction_cost_eur", "spread_cost_eur", "slippage_cost_eur", "delay_
 POSITION_TOLERANCE = 1e-6
 
 
-def price_scale(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Reference price of a series: the median of non-zero absolute prices, at least 1."""
+def price_scale(df: DataFrame, keys=KEYS, ts: str = TS) -> DataFrame:
+    """Reference price of a series: the median of non-zero absolute prices, at least 1; no row where there is none."""
     size = F.abs(PRICE)
-    return df.groupBy(*keys).agg(
-        F.greatest(F.coalesce(F.percentile(F.when(size > 0, size), F.lit(0.5)), F.lit(1.0)), F.lit(1.0)).alias(
-            "reference_price_eur_mwh"
-        )
-    )
+    median = quantile(df, keys, ts, F.when(size > 0, size), 0.5, "_median")
+    return median.select(*keys, F.greatest("_median", F.lit(1.0)).alias("reference_price_eur_mwh"))
 
 
 def prepare(
@@ -48,8 +46,9 @@ def prepare(
         return {**made, **(extra(w) if extra else {})}
 
     state = market_state(scored, cfg.signal, keys, ts, chunking, ahead=reach, extra=windows, keep_chunk=True)
-    scale = price_scale(scored, keys) if scale is None else scale
-    return stage(chunks.attach(state, scale, keys, ts))
+    scale = price_scale(scored, keys, ts) if scale is None else scale
+    priced = chunks.attach(state, scale, keys, ts)
+    return stage(priced.withColumn("reference_price_eur_mwh", F.coalesce("reference_price_eur_mwh", F.lit(1.0))))
 
 
 def execute(

@@ -8,7 +8,8 @@ from ..config import DEFAULT_CHUNKING, Chunking
 from ..functions import chunks
 from ..functions.columns import cyclical, finite, flag, zero
 from ..functions.staging import stage
-from ..functions.windows import diff, ordered, pct_change, rolling_mean, rolling_quantile, rolling_std, zscore
+from ..functions.order_stats import rolling_quantiles
+from ..functions.windows import diff, ordered, pct_change, rolling_mean, rolling_std, zscore
 from ..schema import (
     DAY_AHEAD, DEMAND, IMBALANCE, INTRADAY, KEYS, PRICE, RENEWABLE, RENEWABLE_FORECAST, SPREAD, TS, WEATHER_VALUES,
 )
@@ -83,10 +84,10 @@ def momentum(df: DataFrame, keys=KEYS, ts: str = TS) -> DataFrame:
 
 
 def volatility(df: DataFrame, keys=KEYS, ts: str = TS) -> DataFrame:
-    """Realised volatility of the price step and its rolling 70% quantile (frames over frames)."""
+    """Realised volatility of the price step and its rolling 70% quantile (frames over frames), per group ``keys``."""
     w = ordered(keys, ts)
     out = df.withColumn("realized_volatility_24", rolling_std(F.col("price_ramp_1h"), w, 24, 12))
-    return out.withColumn("_vol_q70", rolling_quantile(F.col("realized_volatility_24"), 0.7, w, 168, 24))
+    return rolling_quantiles(out, keys, ts, {"_vol_q70": ("realized_volatility_24", 0.7, 168, 24)})
 
 
 def stress_and_interactions(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import ForecastConfig
 from ..functions import chunks
+from ..functions.order_stats import quantile
 from ..functions.staging import stage
 from ..schema import DEMAND, KEYS, PRED_DEMAND, PRED_PRICE, PRED_RENEWABLE, PRICE, RENEWABLE, TS
 from .features import model_columns
@@ -463,7 +464,7 @@ def feature_importance(model, cols, spark, n: int = 20) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in values], "feature string, importance double")
 
 
-def ablation_impact(model, df: DataFrame, cols, keys=KEYS) -> DataFrame:
+def ablation_impact(model, df: DataFrame, cols, keys=KEYS, ts: str = TS) -> DataFrame:
     """Mean absolute change of the prediction over all rows when one feature is replaced by its median in the series.
 
     Each row carries its own prediction through the replacements, so nothing is joined back.
@@ -471,7 +472,9 @@ def ablation_impact(model, df: DataFrame, cols, keys=KEYS) -> DataFrame:
     """
     cols, keys = list(cols), list(keys)
     base = model.transform(assembled(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
-    medians = df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in cols])
+    long = df.select(*keys, ts, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_i", "_v"))
+    middle = quantile(long, [*keys, "_i"], ts, F.col("_v"), 0.5, "_m")
+    medians = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(f"_m_{c}") for i, c in enumerate(cols)])
     rows = base.select(*keys, *cols, F.col("_pred").alias("_base")).join(medians, keys)
     spread = rows.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols]))).select(
         "feature", "_base", *[F.when(F.col("feature") == c, F.col(f"_m_{c}")).otherwise(F.col(c)).alias(c) for c in cols]

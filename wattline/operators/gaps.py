@@ -54,18 +54,23 @@ def needs_fetch(required, force: bool = False) -> Column:
     return ~(flag(F.col(QUALITY) == "real") & all_of(F.col(c).isNotNull() for c in required))
 
 
-def missing_ranges(df: DataFrame, required, keys=KEYS, ts: str = TS, force: bool = False) -> DataFrame:
+def missing_ranges(
+    df: DataFrame, required, keys=KEYS, ts: str = TS, force: bool = False, chunking: Chunking = DEFAULT_CHUNKING
+) -> DataFrame:
     """Runs of uncovered hours as [range_start, range_end); a step over one hour starts a new run.
 
-    Only uncovered rows survive the filter, and runs are found chunk by chunk: each chunk is first
-    reduced to its runs, then runs that touch across a cut are merged.
+    Only uncovered rows survive the filter. Each chunk is reduced to its runs, and only its first and last
+    run can go on across a cut: runs in between are final, and what meets per series are two rows a chunk.
     """
     bad = df.where(needs_fetch(required, force)).select(*keys, ts)
-    runs = _merge_runs(
-        chunks.split(bad.withColumn("range_start", F.col(ts)).withColumn("range_end", F.col(ts) + one_hour()), ts),
-        chunks.chunk_keys(keys),
-    )
-    return _merge_runs(runs, keys).select(*keys, "range_start", "range_end")
+    hours = bad.withColumns({"range_start": F.col(ts), "range_end": F.col(ts) + one_hour()})
+    inside = chunks.chunk_keys(keys)
+    runs = _merge_runs(chunks.split(hours, ts, chunking=chunking, keys=keys), inside)
+    w = Window.partitionBy(*inside).orderBy("range_start")
+    runs = runs.withColumn("_edge", F.lag("range_start").over(w).isNull() | F.lead("range_start").over(w).isNull())
+    ranges = [*keys, "range_start", "range_end"]
+    edges = _merge_runs(runs.where("_edge"), keys)
+    return edges.select(*ranges).unionByName(runs.where("NOT _edge").select(*ranges))
 
 
 def _merge_runs(df: DataFrame, keys) -> DataFrame:

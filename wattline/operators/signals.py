@@ -6,20 +6,16 @@ is a projection over it, so several strategies share one window pass.
 
 from __future__ import annotations
 
-import bisect
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT_CHUNKING, Chunking, SignalConfig
-from ..functions import chunks
+from ..functions import chunks, order_stats
 from ..functions.columns import at_least, clip, decision_label, flag, num, zero
 from ..functions.staging import stage
-from ..functions.windows import ordered, rolling_mean, rolling_median, rolling_quantile, rolling_std
+from ..functions.windows import ordered, rolling_mean, rolling_std
 from ..schema import (
     DAY_AHEAD, DEMAND, INTRADAY, KEYS, PRED_DEMAND, PRED_PRICE, PRED_RENEWABLE, PRICE, RENEWABLE, SCORED_REQUIRED,
-    SPREAD, TS, nan_to_null, require_columns,
+    SPREAD, TS, require_columns,
 )
 
 EPS = 1e-6
@@ -36,38 +32,6 @@ def base_columns(df: DataFrame) -> DataFrame:
     return out.withColumns({"net_load_mw": demand / 1000.0 - renewable, SPREAD: F.col(INTRADAY) - F.col(DAY_AHEAD)})
 
 
-def _expanding_median(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact median of all values so far, kept in one sorted list."""
-    pdf = pdf.sort_values("_t")
-    seen: list[float] = []
-    out = np.full(len(pdf), np.nan)
-    for i, x in enumerate(pdf["_x"].to_numpy(dtype=float)):
-        if x == x:
-            bisect.insort(seen, x)
-        if seen:
-            n = len(seen)
-            out[i] = seen[n // 2] if n % 2 else (seen[n // 2 - 1] + seen[n // 2]) / 2.0
-    pdf["_median"] = out
-    return pdf.drop(columns=["_x"])
-
-
-def warmup_median(df: DataFrame, keys, ts: str, value: str, ready: Column) -> DataFrame:
-    """(keys, chunk, ts, median of all values so far) for the rows before ``ready`` first holds.
-
-    Only those warm-up rows, with two columns, go to the grouped function: by definition a stretch
-    with fewer than the minimum number of values in every frame.
-    """
-    started = df.groupBy(*keys).agg(F.min(F.when(ready, F.col(ts))).alias("_ready_at"))
-    early = (
-        chunks.attach(df.select(*keys, chunks.CHUNK, ts, value), started, keys, ts)
-        .where(F.col("_ready_at").isNull() | (F.col(ts) < F.col("_ready_at")))
-        .select(*keys, chunks.CHUNK, F.col(ts).alias("_t"), F.col(value).alias("_x"))
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in early.drop("_x").schema.fields)
-    out = early.groupBy(*keys).applyInPandas(_expanding_median, schema + ", _median double")
-    return out.withColumnRenamed("_t", ts).withColumn("_median", nan_to_null(F.col("_median")))
-
-
 def market_state(
     df: DataFrame, cfg: SignalConfig = SignalConfig(), keys=KEYS, ts: str = TS,
     chunking: Chunking = DEFAULT_CHUNKING, ahead: int = 0, extra=None, keep_chunk: bool = False,
@@ -85,14 +49,18 @@ def market_state(
         {
             "price_trend": zero(p - F.lag(p).over(w)),
             "_vol": rolling_std(p, w, vw, max(2, vw // 2)),
-            "_eq": rolling_median(p, w, ew, max(6, ew // 3)),
             "_load_eq": rolling_mean(load, w, ew, 6),
             "_spread_vol": rolling_std(spr, w, vw, 4),
             **(extra(w) if extra else {}),
         }
     )
+    part = order_stats.rolling_quantiles(part, chunks.chunk_keys(keys), ts, {"_eq": (PRICE, 0.5, ew, max(6, ew // 3))})
     core = stage(chunks.core(part, keep_chunk=True))
-    median = warmup_median(core, keys, ts, PRICE, F.col("_eq").isNotNull())
+    # Before the first full window the equilibrium is the median of all rows so far.
+    started = core.groupBy(*keys).agg(F.min(F.when(F.col("_eq").isNotNull(), F.col(ts))).alias("_ready_at"))
+    early = chunks.attach(core.select(*keys, chunks.CHUNK, ts, PRICE), started, keys, ts)
+    early = stage(early.where(F.col("_ready_at").isNull() | (F.col(ts) < F.col("_ready_at"))).drop("_ready_at"))
+    median = order_stats.expanding_median(early, keys, ts, PRICE, "_median")
     filled = ["_vol", "_eq", "_load_eq", "_spread_vol"]
     core = chunks.carry(
         core, keys, ts, fills={c: F.col(c) for c in filled}, moments={"_p": p, "_l": load, "_d": spr}
@@ -112,11 +80,11 @@ def market_state(
     vol = F.col("rolling_volatility")
     part = part.withColumns(
         {
-            "_q": rolling_quantile(vol, cfg.regime_quantile, w, ew, 6),
             "_trend": rolling_mean(F.col("price_trend"), w, vw, 4),
             "_vol_mean": rolling_mean(vol, w, vw, 4),
         }
     )
+    part = order_stats.rolling_quantiles(part, chunks.chunk_keys(keys), ts, {"_q": ("rolling_volatility", cfg.regime_quantile, ew, 6)})
     trend = flag(F.abs("_trend") > zero(F.col("_vol_mean")) * 0.3)
     return (
         chunks.core(part, keep_chunk=keep_chunk)

@@ -39,6 +39,11 @@ def out(keys: str, source: str, digits: int = 4, ts: bool = True, plain=(), **co
     return f"SELECT {', '.join(parts)} FROM {source}"
 
 
+def at_least_one(x: str) -> str:
+    """greatest() skips NULL; a missing number has no lower bound."""
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest({x}, 1.0) END"
+
+
 def same(*names) -> dict:
     return {n: n for n in names}
 
@@ -219,23 +224,23 @@ pos AS (
 trade1 AS (
   SELECT *, p1 AS position, p1 - p2 AS change, abs(p1 - p2) AS turnover, 10000.0 / ref AS exposure_mwh,
     coalesce({IN}, {P}) AS exec_ref, coalesce(next_price - {P}, 0.0) AS fwd,
-    greatest(abs(coalesce({IN}, {P})), 1.0) * (3.0 / 10000.0) AS spread_eur FROM pos),
+    {at_least_one(f'abs(coalesce({IN}, {P}))')} * (3.0 / 10000.0) AS spread_eur FROM pos),
 trade2 AS (
   SELECT *, turnover * exposure_mwh * (spread_eur / 2.0) AS spread_cost_eur,
-    turnover * exposure_mwh * (0.08 * coalesce(vol, 0.0) + 0.02 * turnover * greatest(abs(exec_ref), 1.0)) AS slippage_cost_eur,
+    turnover * exposure_mwh * (0.08 * coalesce(vol, 0.0) + 0.02 * turnover * {at_least_one('abs(exec_ref)')}) AS slippage_cost_eur,
     turnover * exposure_mwh * coalesce(vol, 0.0) * 0.03 AS delay_cost_eur, turnover * 10000.0 * (5.0 / 10000.0) AS transaction_cost_eur,
     position * fwd * exposure_mwh AS gross_pnl_eur,
     abs(target_position - target_position_constrained) * exposure_mwh * abs(fwd) AS opportunity_cost_proxy_eur,
     exec_ref + sign(change) * spread_eur / 2.0 AS fill_price_eur_mwh FROM trade1),
 trades AS (
-  SELECT *, coalesce(gross_pnl_eur - transaction_cost_eur - spread_cost_eur - slippage_cost_eur - delay_cost_eur, 0.0) AS net_pnl_eur
+  SELECT *, gross_pnl_eur - transaction_cost_eur - spread_cost_eur - slippage_cost_eur - delay_cost_eur AS net_pnl_eur
   FROM trade2),
 equity(series_id, strategy_name, rn, e, r) AS (
   SELECT series_id, strategy_name, 0::BIGINT, 10000.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT series_id, strategy_name FROM signals)
   UNION ALL
   SELECT q.series_id, q.strategy_name, t.rn,
-    greatest(q.e * (1.0 + greatest(least(t.net_pnl_eur / q.e, 1.0 - 1e-6), -1.0 + 1e-6)), 1e-6),
-    greatest(least(t.net_pnl_eur / q.e, 1.0 - 1e-6), -1.0 + 1e-6)
+    greatest(q.e * (1.0 + greatest(least(coalesce(t.net_pnl_eur, 0.0) / q.e, 1.0 - 1e-6), -1.0 + 1e-6)), 1e-6),
+    greatest(least(coalesce(t.net_pnl_eur, 0.0) / q.e, 1.0 - 1e-6), -1.0 + 1e-6)
   FROM equity q JOIN trades t ON t.series_id = q.series_id AND t.strategy_name = q.strategy_name AND t.rn = q.rn + 1),
 money AS (
   SELECT t.*, q.r AS strategy_return, q.e AS equity_eur, q.e - coalesce(lag(q.e) OVER w, 10000.0) AS pnl,
@@ -284,17 +289,27 @@ metric AS (
 metrics AS (SELECT * FROM metric JOIN dd USING (series_id, strategy_name))"""
 
 
-def draws(iterations: int, streams, source: str) -> str:
-    """Replicates with the same MD5 draws; ``source`` has series_id, rn0 (0-based) and the streams."""
+def hashed(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 12))::BIGINT"
+
+
+def draws(iterations: int, streams, source: str, block: int = 3840) -> str:
+    """Replicates with the same MD5 draws, first split over blocks of rows, then drawn inside a block.
+
+    ``source`` has series_id, rn0 (0-based) and the streams.
+    """
     cols = ", ".join(
         f"coalesce(avg({s}) / nullif(stddev_samp({s}), 0.0) * sqrt(24.0), 0.0) AS sh_{s}, avg({s}) AS mn_{s}" for s in streams
     )
     return f"""
 streams AS ({source}),
 sizes AS (SELECT series_id, count(*) AS n FROM streams GROUP BY 1),
-picks AS (
-  SELECT series_id, rep, ('0x' || substr(md5('42-' || rep || '-' || rn0), 1, 12))::BIGINT % n AS rn0
+slots AS (
+  SELECT series_id, rep, n, CASE WHEN n <= {block} THEN 0 ELSE {hashed("'42-' || rep || '-block-' || rn0")} % n // {block} END AS blk
   FROM streams JOIN sizes USING (series_id), generate_series(1, {iterations}) g(rep)),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY series_id, rep, blk) - 1 AS k FROM slots),
+picks AS (
+  SELECT series_id, rep, blk * {block} + {hashed("'42-' || rep || '-' || blk || '-' || k")} % least({block}, n - blk * {block}) AS rn0 FROM dealt),
 boot AS (SELECT series_id, rep, {cols} FROM picks JOIN streams USING (series_id, rn0) GROUP BY 1, 2)"""
 
 
@@ -315,7 +330,7 @@ def poisson(iterations: int, streams, source: str) -> str:
     return f"""
 streams AS ({source}),
 spread_rows AS (
-  SELECT *, ('0x' || substr(md5('42-' || rep || '-' || rn0), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  SELECT *, {hashed("'42-' || rep || '-' || rn0")} / 281474976710656.0::DOUBLE AS u
   FROM streams, generate_series(1, {iterations}) g(rep)),
 weighted AS (SELECT *, ({weight})::DOUBLE AS w FROM spread_rows),
 totals AS (SELECT series_id, rep, sum(w) AS n, {sums} FROM weighted GROUP BY 1, 2),
