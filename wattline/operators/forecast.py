@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from math import pi
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import ForecastConfig
 from ..functions import chunks
 from ..functions.order_stats import quantile
-from ..functions.staging import stage
+from ..functions.staging import scratch, stage
 from ..schema import DEMAND, KEYS, PRED_DEMAND, PRED_PRICE, PRED_RENEWABLE, PRICE, RENEWABLE, TS
 from .features import model_columns
 
@@ -56,6 +57,44 @@ def walk_forward_folds(lengths: DataFrame, fc: ForecastConfig = ForecastConfig()
     )
 
 
+@dataclass(frozen=True)
+class TimeFolds:
+    """Walk-forward windows in hours since ``start``, the same for all series: what pooled models are cut by."""
+
+    start: int
+    train: int
+    test: int
+    count: int
+
+    def hour(self, ts: str = TS) -> Column:
+        return chunks.hour_index(ts) - F.lit(self.start)
+
+    def train_window(self, fold: int, ts: str = TS) -> Column:
+        return self.hour(ts).between(fold * self.test, fold * self.test + self.train - 1)
+
+    def test_window(self, fold: int, ts: str = TS) -> Column:
+        first = fold * self.test + self.train
+        return self.hour(ts).between(first, first + self.test - 1)
+
+
+def time_folds(df: DataFrame, fc: ForecastConfig = ForecastConfig(), ts: str = TS) -> TimeFolds:
+    """Folds over the hours from the first to the last row of all series.
+
+    Row numbers would do for one series. Pooled, a series that starts late would lend its later hours to the
+    training of folds whose test window lies before them.
+    """
+    if fc.train_days < 1 or fc.test_days < 1:
+        raise ValueError("walk-forward windows must be positive")
+    hour, test = chunks.hour_index(ts), fc.test_days * 24
+    ends = df.agg(F.min(hour).alias("a"), F.max(hour).alias("b")).first()
+    hours = 0 if ends["a"] is None else ends["b"] - ends["a"] + 1
+    train = min(fc.train_days * 24, hours - test)
+    if train <= 0:
+        need = max(fc.test_days * 48, (fc.train_days + fc.test_days) * 24)
+        raise ValueError(f"not enough hours for walk-forward training: {hours}; need at least {need}")
+    return TimeFolds(int(ends["a"]), int(train), test, int((hours - test - train) // test + 1))
+
+
 def require_folds(folds: DataFrame, fc: ForecastConfig = ForecastConfig()) -> DataFrame:
     if folds.isEmpty():
         need = max(fc.test_days * 48, (fc.train_days + fc.test_days) * 24)
@@ -125,12 +164,17 @@ def prune_features(
     """Which features survive, judged on the first train window of each series only.
 
     Each chunk of a series is reduced to pairwise sums; a series (or, ``pooled``, the whole frame) is
-    the sum of its chunks. What meets in one task is p x p numbers per chunk, never the rows.
+    the sum of its chunks. What meets in one task is p x p numbers per chunk, never the rows. The window of a
+    pooled pruning is the first one on the common clock, so a late series adds nothing from after it.
     """
     cols = list(cols)
-    rows = chunks.number_rows(df.select(*keys, ts, *cols), keys, ts)
-    fit = first_train_rows(series_lengths(df, keys), fc, keys).drop("rows")
-    head = chunks.attach(rows, fit, keys, ts).where(F.col(ROW) < F.col("fit_rows"))
+    if pooled:
+        clock = time_folds(df, fc, ts)
+        head = df.select(*keys, ts, *cols).where(clock.hour(ts) < clock.train)
+    else:
+        rows = chunks.number_rows(df.select(*keys, ts, *cols), keys, ts)
+        fit = first_train_rows(series_lengths(df, keys), fc, keys).drop("rows")
+        head = chunks.attach(rows, fit, keys, ts).where(F.col(ROW) < F.col("fit_rows"))
     head = chunks.split(head, ts).drop(chunks.HALO)
     centre = head.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()
     shift = np.array([float(centre[c]) for c in cols])
@@ -338,6 +382,8 @@ GRID = (
     BoostParams(trees=200, depth=8),
     BoostParams(trees=400, depth=3, step=0.1),
 )
+#: Fits that the driver starts side by side; Spark shares its executors among their tasks.
+PARALLEL_FITS = 4
 MIN_TUNING_FIT_ROWS = 48
 MIN_TUNING_VALIDATION_ROWS = 24
 MIN_VALIDATION_ROWS = 8
@@ -351,17 +397,6 @@ def assembled(df: DataFrame, cols) -> DataFrame:
     return out.drop(*names)
 
 
-def standardise(train: DataFrame, other: DataFrame, cols):
-    """Scale both frames with the statistics of the train frame only."""
-    steps = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(cols), outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
-        ]
-    ).fit(train)
-    return steps.transform(train).drop("_raw"), steps.transform(other).drop("_raw")
-
-
 def booster(target: str, params: BoostParams, seed: int, out: str = "_pred") -> GBTRegressor:
     return GBTRegressor(
         featuresCol="_features", labelCol=target, predictionCol=out, maxIter=params.trees, maxDepth=params.depth,
@@ -369,54 +404,57 @@ def booster(target: str, params: BoostParams, seed: int, out: str = "_pred") ->
     )
 
 
-def fold_frame(df: DataFrame, cols, fc: ForecastConfig, keys=KEYS, ts: str = TS):
-    """(staged rows with row number and first train length, number of folds)."""
-    lengths = series_lengths(df, keys)
-    folds = require_folds(walk_forward_folds(lengths, fc, keys), fc)
-    first = folds.where("fold = 0").select(*keys, F.col("train_end").alias("_train"))
-    sizes = lengths.withColumnRenamed("rows", "_rows").join(first, list(keys))
-    rows = chunks.attach(chunks.number_rows(df, keys, ts), sizes, keys, ts, "inner")
-    count = folds.agg(F.max("fold").alias("f")).first()["f"] + 1
-    return stage(assembled(rows, cols)), int(count)
-
-
-def _roles(fold: int, test: int):
-    """(train, test) conditions of a fold; a series without a full test window takes no part in it."""
-    i, start = F.col(ROW), F.lit(fold * test)
-    end = F.col("_train") + fold * test
-    whole = end + test <= F.col("_rows")
-    return whole & (i >= start) & (i < end), whole & (i >= end) & (i < end + test)
+def fold_frame(df: DataFrame, cols, fc: ForecastConfig, keys=KEYS, ts: str = TS) -> tuple[DataFrame, TimeFolds]:
+    """Staged rows with assembled features, and the folds that all fits on them share."""
+    rows = stage(assembled(df, cols))
+    return rows, time_folds(rows, fc, ts)
 
 
 def fit_boosted(
     df: DataFrame, cols, target: str, pred: str, fc: ForecastConfig = ForecastConfig(),
     params: BoostParams = BoostParams(), keys=KEYS, ts: str = TS, early_stopping: bool = False,
-    tolerance: float = 0.01, frame=None, final: bool = True,
+    tolerance: float = 0.01, frame=None, final: bool = True, parallel: int = PARALLEL_FITS,
 ):
     """Out-of-fold predictions (keys, ts, pred) and, if asked, a final model over all rows.
 
-    One model per fold is trained on the train windows of all series together; Spark ML spreads each
-    fit over the cluster, and the driver only loops over folds. With ``early_stopping`` the last 15%
+    One model per fold is trained on the train window of all series together, cut by time; Spark ML spreads each
+    fit over the cluster and up to ``parallel`` fits run side by side. Every fold writes its predictions to one
+    table, so nothing of a fitted model is in the plan of what follows. With ``early_stopping`` the last 15%
     of each train window decide when to stop, and too short windows train a fixed ten rounds.
     """
-    rows, count = frame or fold_frame(df, cols, fc, keys, ts)
-    test = fc.test_days * 24
-    parts = None
-    for fold in range(count):
-        train, hold = _roles(fold, test)
-        fitted = _fit(rows.where(train), target, params, fc, early_stopping, tolerance, F.lit(fold * test) + F.col("_train"))
-        part = fitted.transform(rows.where(hold)).select(*keys, ts, F.col("_pred").alias(pred))
-        parts = part if parts is None else parts.unionByName(part)
-    model = _fit(rows, target, params, fc, early_stopping, tolerance, F.col("_rows")) if final else None
+    rows, clock = frame or fold_frame(df, cols, fc, keys, ts)
+    out = scratch(rows.sparkSession, "fold-predictions")
+
+    def one(fold: int) -> None:
+        train = rows.where(clock.train_window(fold, ts) & F.col(target).isNotNull())
+        fitted = _fit(train, target, params, fc, early_stopping, tolerance, clock.hour(ts), fold * clock.test, clock.train)
+        part = fitted.transform(rows.where(clock.test_window(fold, ts)))
+        part.select(*keys, ts, F.col("_pred").alias(pred)).write.parquet(f"{out}/fold={fold}")
+
+    side_by_side(rows.sparkSession, [lambda k=k: one(k) for k in range(clock.count)], parallel)
+    parts = rows.sparkSession.read.parquet(out).select(*keys, ts, pred)
+    model = fit_final(rows, target, fc, params, early_stopping, tolerance, clock, ts) if final else None
     return parts, model
 
 
-def _fit(train, target, params, fc, early_stopping, tolerance, end):
-    """``end`` is the row offset at which the train window of a series ends."""
+def side_by_side(spark: SparkSession, jobs: list, parallel: int) -> list:
+    """Run driver-side calls that each start Spark jobs, a few at a time; the first failure is raised."""
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]]
+
+
+def fit_final(rows: DataFrame, target: str, fc, params, early_stopping: bool, tolerance: float, clock: TimeFolds, ts: str = TS):
+    """A model over all rows of a fold frame."""
+    hours = (clock.count - 1) * clock.test + clock.train + clock.test
+    return _fit(rows.where(F.col(target).isNotNull()), target, params, fc, early_stopping, tolerance, clock.hour(ts), 0, hours)
+
+
+def _fit(train, target, params, fc, early_stopping, tolerance, hour, first: int, hours: int):
+    """``train`` covers ``hours`` from hour ``first`` on."""
     model = booster(target, params, fc.seed)
     if early_stopping:
-        tail = F.greatest(F.floor(F.least(F.col("_train"), end) * 0.15), F.lit(MIN_VALIDATION_ROWS))
-        train = train.withColumn("_late", F.col(ROW) >= end - tail)
+        tail = max(int(hours * 0.15), MIN_VALIDATION_ROWS)
+        train = train.withColumn("_late", hour >= first + hours - tail)
         few = train.agg(F.count_if(~F.col("_late")).alias("n")).first()["n"] < MIN_FIT_ROWS
         if few:
             model.setMaxIter(min(params.trees, 10))
@@ -427,28 +465,30 @@ def _fit(train, target, params, fc, early_stopping, tolerance, end):
 
 def tune(
     df: DataFrame, cols, target: str, fc: ForecastConfig = ForecastConfig(), grid=GRID, keys=KEYS, ts: str = TS,
-    frame=None,
+    frame=None, parallel: int = PARALLEL_FITS,
 ) -> tuple[BoostParams, list[dict]]:
     """Fit each candidate on the head of the first train window, score it on the tail; ties keep the first.
 
-    Returns the default without a search when no series has enough rows for both parts.
+    The window is cut by time over all series, and candidates are fitted side by side. Returns the default without
+    a search when the window is too short for both parts.
     """
-    rows, _ = frame or fold_frame(df, cols, fc, keys, ts)
-    tail = F.greatest(F.floor(F.col("_train") * fc.validation_fraction), F.lit(MIN_TUNING_VALIDATION_ROWS))
-    fit_rows = F.col("_train") - tail
-    usable = rows.where(fit_rows >= MIN_TUNING_FIT_ROWS)
-    head = usable.where(F.col(ROW) < fit_rows)
-    check = usable.where((F.col(ROW) >= fit_rows) & (F.col(ROW) < F.col("_train")))
-    if head.isEmpty():
+    rows, clock = frame or fold_frame(df, cols, fc, keys, ts)
+    tail = max(int(clock.train * fc.validation_fraction), MIN_TUNING_VALIDATION_ROWS)
+    cut, hour = clock.train - tail, clock.hour(ts)
+    known = rows.where(F.col(target).isNotNull())
+    head, check = known.where((hour >= 0) & (hour < cut)), known.where((hour >= cut) & (hour < clock.train))
+    if cut < MIN_TUNING_FIT_ROWS or head.isEmpty():
         return BoostParams(), []
-    best, best_mae, log = BoostParams(), float("inf"), []
-    for params in grid:
+
+    def score(params: BoostParams) -> float:
         scored = booster(target, params, fc.seed).fit(head).transform(check)
         mae = scored.agg(F.avg(F.abs(F.col("_pred") - F.col(target))).alias("mae")).first()["mae"]
-        log.append({"params": params, "validation_mae": mae})
-        if mae < best_mae:
-            best, best_mae = params, mae
-    return best, log
+        return float("inf") if mae is None else mae
+
+    maes = side_by_side(rows.sparkSession, [lambda p=p: score(p) for p in grid], parallel)
+    log = [{"params": p, "validation_mae": m} for p, m in zip(grid, maes)]
+    best = min(range(len(log)), key=lambda i: (maes[i], i), default=None)
+    return (BoostParams() if best is None or maes[best] == float("inf") else log[best]["params"]), log
 
 
 def search_log(spark, log) -> DataFrame:
@@ -513,7 +553,15 @@ def train_early_stopping(features: DataFrame, fc: ForecastConfig = ForecastConfi
     return train_boosted(features, fc, keys, ts, early_stopping=True, **options)
 
 
-TRAINERS = {"boosted": train_boosted, "early_stopping": train_early_stopping, "additive": train_additive}
+def train_recurrent(features: DataFrame, fc: ForecastConfig = ForecastConfig(), keys=KEYS, ts: str = TS, **options):
+    from .recurrent import train_recurrent as train
+
+    return train(features, fc, keys, ts, **options)
+
+
+TRAINERS = {
+    "boosted": train_boosted, "early_stopping": train_early_stopping, "additive": train_additive, "recurrent": train_recurrent,
+}
 
 
 def train_with_model(key: str, features: DataFrame, fc: ForecastConfig = ForecastConfig(), keys=KEYS, ts: str = TS, **options):

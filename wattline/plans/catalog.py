@@ -13,7 +13,7 @@ from ..functions.staging import stage
 from ..functions.windows import ordered, pct_change
 from ..operators import (
     backtest, baselines, compare, decision, diagnostics, features, folds, forecast, gaps, joins, quality,
-    review, signals, significance,
+    recurrent, review, signals, significance,
 )
 from ..schema import (
     DAY_AHEAD, DEMAND, ENERGY_SCHEMA, FETCHED, IMBALANCE, INTRADAY, IS_SYNTHETIC, KEYS, PRED_PRICE, PRICE, QUALITY,
@@ -696,10 +696,22 @@ def boosted_forecast(spark, sf):
 
 @query
 def early_stopped_forecast(spark, sf):
-    part, _ = forecast.fit_boosted(
-        _features(spark, sf), REGRESSORS, PRICE, PRED_PRICE, base.FOLDS, SMALL, early_stopping=True, final=False
-    )
-    return present(part)
+    scored = forecast.train_boosted(_features(spark, sf), base.FOLDS, params=SMALL, early_stopping=True, cols=REGRESSORS)
+    return present(scored.select(*KEYS, TS, PRICE, *forecast.TARGETS))
+
+
+@query
+def recurrent_forecast(spark, sf):
+    """All targets, all kept features, the default network, one group per series and fold."""
+    scored = forecast.train_with_model("recurrent", _features(spark, sf), base.FOLDS)
+    return present(scored.select(*KEYS, TS, PRICE, *forecast.TARGETS))
+
+
+@query
+def recurrent_training(spark, sf):
+    rows = _features(spark, sf)
+    cols = forecast.selected_columns(rows, base.FOLDS)
+    return present(recurrent.training_summary(recurrent.fit_recurrent(rows, cols, base.FOLDS).history))
 
 
 @query
@@ -711,8 +723,8 @@ def tuned_parameters(spark, sf):
 
 def _final_model(spark, sf):
     rows = _features(spark, sf)
-    frame = forecast.fold_frame(rows, REGRESSORS, base.FOLDS)
-    return rows, forecast._fit(frame[0], PRICE, SMALL, base.FOLDS, False, 0.01, F.col("_rows"))
+    frame, clock = forecast.fold_frame(rows, REGRESSORS, base.FOLDS)
+    return rows, forecast.fit_final(frame, PRICE, base.FOLDS, SMALL, False, 0.01, clock)
 
 
 @query
