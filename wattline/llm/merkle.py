@@ -4,9 +4,11 @@ Every source is a tree over its rows in ascending doc_id; runs of three consecut
 roots of the sources are the leaves of one more tree. Levels are built bottom up, one grouped join of runs each,
 and stored as node rows: where the node is, its siblings to the left and right, and where its parent is.
 
-A proof climbs from its own leaf to the root in a recursive query that joins the stored rows once per level. A
-node is met by all leaves below it, at the top by all of a table. So each node row is stored once per block of
-neighbouring leaves that it covers, and a key of the climb holds at most a block, whatever the tree's height.
+A proof climbs from its own leaf to the root in a recursive query that joins the stored rows once per level: it
+folds the hash and appends the place whose siblings it met. A node is met by all leaves below it, at the top by all
+of a table. So each node row is stored once per block of neighbouring leaves that it covers, and a key of the climb
+holds at most a block, whatever the tree's height. Spark shuffles every row of a recursion twice per level; so the
+rows carry places, and the siblings at these places are put in from the stored rows of the block at the end.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from .keyed import CRC32, join_per_key, number_in_order
 
 ARITY = 3
 #: Leaves that climb by the same copy of a node.
-BLOCK = 243
+BLOCK = 81
 #: Blocks listed in one row before the list is spread.
 SPREAD = 50_000
 #: Levels of the tree over the sources follow those of any source.
 TOP = 100
-NODE = ["level", "first"]
+#: A place is level * LEVEL + number of the first leaf below it, so places on a path ascend.
+LEVEL = 1 << 48
 
 
 def _field(c: Column) -> Column:
@@ -111,15 +114,15 @@ def _height(n: int) -> int:
     return h
 
 
-def build(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame | None, DataFrame, bytes | None]:
-    """Stored node rows, subroots by source as (no_source, source, start, size, hash), and the root.
+def build(rows: DataFrame) -> tuple[DataFrame | None, DataFrame, bytes | None, int]:
+    """Node rows, subroots by source as (no_source, source, start, size, hash), the root and its place.
 
     ``rows`` are numbered leaves. Node rows are None where there is nothing to climb.
     """
     sources = staged(rows.groupBy("no_source", "source").agg(F.min("g").alias("start"), F.count("*").alias("size")), "sources")
     tallest = sources.agg(F.max("size")).first()[0]
     if tallest is None:
-        return None, sources.withColumn("hash", F.lit(None).cast("binary")), None
+        return None, sources.withColumn("hash", F.lit(None).cast("binary")), None, 0
     # (no_source, source) is now named by the number of its first leaf.
     placed = join_per_key(rows, sources.withColumn("n", F.col("size")), ["no_source", "source"], "n")
     level = placed.select("start", "size", (F.col("g") - F.col("start")).alias("at"), F.col("g").alias("first"), F.col("g").alias("last"), F.col("leaf").alias("hash"))
@@ -131,10 +134,11 @@ def build(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame | None, DataFr
     upper, root = _tree(top, TOP, ["all"], _height(n), None)
     all_rows = None
     for part in [*linked, *upper]:
-        part = part.select(F.col("level").cast("int"), "first", "last", "left", "right", F.col("parent_level").cast("int"), "parent_first")
+        place, parent = (F.col(l).cast("long") * LEVEL + F.col(f) for l, f in (("level", "first"), ("parent_level", "parent_first")))
+        part = part.select(place.alias("place"), "first", "last", "left", "right", parent.alias("parent"))
         all_rows = part if all_rows is None else all_rows.unionByName(part)
     per_source = sources.join(subroots.select("start", "hash"), "start")
-    return all_rows, per_source, bytes(root.first()["hash"])
+    return all_rows, per_source, bytes(root.first()["hash"]), (TOP + _height(n)) * LEVEL
 
 
 def _per_block(nodes: DataFrame, block: int) -> DataFrame:
@@ -142,24 +146,23 @@ def _per_block(nodes: DataFrame, block: int) -> DataFrame:
     low, high = F.floor(F.col("first") / block), F.floor(F.col("last") / block)
     coarse = nodes.withColumns({"b0": low, "b1": high}).withColumn("part", F.explode(F.sequence(F.floor(F.col("b0") / SPREAD), F.floor(F.col("b1") / SPREAD))))
     from_, to = F.greatest("b0", F.col("part") * SPREAD), F.least("b1", (F.col("part") + 1) * SPREAD - 1)
-    return coarse.withColumn("block", F.explode(F.sequence(from_, to))).drop("b0", "b1", "part", "last")
+    return coarse.withColumn("block", F.explode(F.sequence(from_, to))).drop("b0", "b1", "part", "first", "last")
 
 
 def _store(nodes: DataFrame, block: int) -> str:
     """Write node rows as a table bucketed and sorted by what the climb joins on, so that only climbers move."""
     spark, n = nodes.sparkSession, shuffle_partitions(nodes.sparkSession)
-    table = f"merkle_nodes_{uuid.uuid4().hex}"
-    by = ["block", *NODE]
+    table, by = f"merkle_nodes_{uuid.uuid4().hex}", ["block", "place"]
     dealt = _per_block(nodes, block).repartition(n, *by)
     dealt.write.format("parquet").option("path", new_path(spark, "merkle-nodes")).bucketBy(n, *by).sortBy(*by).saveAsTable(table)
     return table
 
 
-def climb(spark: SparkSession, start: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(g, folded, siblings): every leaf's hash folded up to the root, and the siblings met, lowest first.
+def climb(spark: SparkSession, start: DataFrame, nodes: DataFrame, root: int, block: int = BLOCK) -> DataFrame:
+    """(g, folded, siblings): every leaf's hash folded up to the place ``root``, and the siblings met, lowest first.
 
-    ``start`` has (g, level, first, hash): where each leaf begins to climb and with which hash. The recursive
-    query makes one row per leaf and level; the rows of a leaf are gathered at the end.
+    ``start`` has (g, place, hash): where each leaf begins to climb and with which hash. The recursive query makes
+    one row per leaf and level.
     """
     table, view = _store(nodes, block), f"merkle_start_{uuid.uuid4().hex}"
     start.createOrReplaceTempView(view)
@@ -167,18 +170,20 @@ def climb(spark: SparkSession, start: DataFrame, nodes: DataFrame, block: int =
     limit, before = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit")
     spark.conf.set(limit, "-1")
     try:
-        steps = spark.sql(f"""
-            WITH RECURSIVE climb(g, block, level, first, hash, step, siblings) AS (
-              SELECT g, g DIV {block}, level, first, hash, 0, CAST(NULL AS BINARY) FROM {view}
+        paths = spark.sql(f"""
+            WITH RECURSIVE climb(g, place, hash) AS (
+              SELECT g, place, hash FROM {view}
               UNION ALL
-              SELECT c.g, c.block, n.parent_level, n.parent_first,
-                     unhex(sha2(concat(n.left, lower(hex(c.hash)), n.right), 256)), c.step + 1, unhex(concat(n.left, n.right))
-              FROM climb c JOIN {table} n ON c.block = n.block AND c.level = n.level AND c.first = n.first
+              SELECT c.g, n.parent, unhex(sha2(concat(n.left, lower(hex(c.hash)), n.right), 256))
+              FROM climb c JOIN {table} n ON c.g DIV {block} = n.block AND c.place = n.place
             )
-            SELECT g, max_by(hash, step) AS folded,
-                   transform(filter(array_sort(collect_list(struct(step, siblings))), s -> s.step > 0), s -> s.siblings) AS siblings
+            SELECT g, first(if(place = {root}, hash, NULL), true) AS folded, array_sort(collect_list(if(place < {root}, place, NULL))) AS path
             FROM climb GROUP BY g""")
-        return staged(steps, "proofs")
+        paths = staged(paths.withColumn("block", F.expr(f"g DIV {block}")), "merkle-paths")
+        met = F.map_from_entries(F.collect_list(F.struct("place", F.unhex(F.concat("left", "right")))))
+        blocks = spark.read.table(table).groupBy("block").agg(met.alias("met"))
+        proofs = paths.join(blocks, "block", "left")
+        return staged(proofs.select("g", "folded", F.transform("path", lambda p: F.element_at("met", p)).alias("siblings")), "proofs")
     finally:
         spark.conf.set(limit, before)
         spark.catalog.dropTempView(view)
@@ -201,16 +206,16 @@ def manifest(
     spark = docs.sparkSession
     changed = without_newlines(F.col(text)) if tampered is None else tampered
     rows = staged(leaves(docs, doc_id, source, lang, n_chars, text, changed), "numbered-leaves")
-    nodes, sources, root = build(rows, block)
+    nodes, sources, root, top = build(rows)
     root_hex = root.hex() if root else None
     per = sources.select("no_source", "source", F.col("hash").alias("subroot"), F.col("size").alias("n"), (F.col("size") == 1).alias("alone"))
     rows = staged(join_per_key(rows, per, ["no_source", "source"], "n"), "leaves-and-subroots")
     if nodes is None:
         proofs = rows.select("g", F.col("tampered_leaf").alias("folded"), F.lit(None).cast("array<binary>").alias("siblings"))
     else:
-        begin = F.when(F.col("alone"), F.lit(TOP)).otherwise(F.lit(0))
-        start = rows.select("g", begin.alias("level"), F.col("g").alias("first"), F.col("tampered_leaf").alias("hash"))
-        proofs = climb(spark, start, nodes, block)
+        begin = F.when(F.col("alone"), F.lit(TOP * LEVEL)).otherwise(F.lit(0))
+        start = rows.select("g", (begin + F.col("g")).alias("place"), F.col("tampered_leaf").alias("hash"))
+        proofs = climb(spark, start, nodes, top, block)
     joined = rows.join(proofs, "g")
     proof = F.array_join(F.transform(F.coalesce("siblings", F.array()), _hex), "")
     return joined.select(
