@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import BacktestConfig, ForecastConfig, SignalConfig
 from ..functions import chunks
-from ..functions.staging import stage
+from ..functions.staging import scratch, stage
 from ..functions.windows import ordered, pct_change
 from ..operators import (
     backtest, baselines, compare, decision, diagnostics, features, folds, forecast, gaps, joins, quality,
@@ -19,7 +19,8 @@ from ..schema import (
     DAY_AHEAD, DEMAND, ENERGY_SCHEMA, FETCHED, IMBALANCE, INTRADAY, IS_SYNTHETIC, KEYS, PRED_PRICE, PRICE, QUALITY,
     RENEWABLE, SOURCE, SPREAD, TS, VERSION, WEATHER_VALUES, conform,
 )
-from ..sources import feeds, storage
+from ..sources import feeds, ranges, storage
+from ..sources.versions import VersionedPanel
 from ..streaming import flows
 from . import base, workflow
 from .base import PANEL_VALUES, present
@@ -944,37 +945,66 @@ def streaming_windows(spark, sf):
 
 @query
 def streaming_ramp(spark, sf):
-    """Position ramp kept as stream state, fed from a written target table."""
-    path = _scratch(spark, "targets")
+    """Position ramp and gross equity kept as stream state, fed from a written target table in several batches."""
+    path, out, late = (scratch(spark, n) for n in ("targets", "ramp", "ramp-late"))
     rows = signals.signal_frame(base.scored(spark, sf)).select(*KEYS, TS, PRICE, "target_position")
-    rows.withColumn("exposure_mwh", F.lit(1.0)).write.mode("overwrite").parquet(path)
-    source = spark.read.parquet(path)
-    stream = spark.readStream.schema(source.schema).parquet(path)
-    frame = flows.position_states(stream.repartition(*KEYS), 0.35, 1.0, 10000.0)
-    return present(_drain(spark, frame, "ramp").select(*KEYS, TS, "position_after", "late"))
+    # Written one stretch of time after the other, so that batches come in order of time.
+    rows = stage(rows.withColumns({"exposure_mwh": F.lit(1.0), "_share": F.unix_timestamp(TS)}))
+    ends = rows.agg(F.min("_share").alias("a"), (F.max("_share") + 1).alias("b")).first()
+    part = F.floor((F.col("_share") - F.lit(ends["a"])) * 4 / F.lit((ends["b"] or 1) - (ends["a"] or 0)))
+    for k in range(4):
+        rows.where(part == k).drop("_share").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    settings = flows.PositionSettings(0.35, 1.0, 10000.0)
+    frame = flows.position_states(stream.repartition(*KEYS), settings)
+    frame.writeStream.foreachBatch(flows.split_late(out, late)).option("checkpointLocation", scratch(spark, "ramp-state")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    kept = spark.read.schema(frame.drop("late").schema).parquet(f"{out}/*").withColumn("late", F.lit(False))
+    dropped = spark.read.schema(frame.select(*KEYS, TS).schema).parquet(f"{late}/*").withColumn("late", F.lit(True))
+    return present(kept.unionByName(dropped, allowMissingColumns=True).select(*KEYS, TS, "position_after", "gross_equity_eur", "late"))
 
 
 @query
 def streaming_upsert(spark, sf):
     rows = base.candidates(spark, sf)
-    path, out, state = _scratch(spark, "raw"), _scratch(spark, "upsert"), _scratch(spark, "upsert-state")
-    rows.write.mode("overwrite").parquet(path)
+    path, state = scratch(spark, "raw"), scratch(spark, "upsert-state")
+    rows.write.parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
-
-    def current(session):
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/_SUCCESS")
-        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-            return None  # before the first batch; any other failed read must not look like it
-        return session.read.parquet(out).withColumn("month", F.col("month").cast("string"))
-
+    panel = VersionedPanel(spark, scratch(spark, "upsert"))
     run = (
-        stream.writeStream.foreachBatch(flows.upsert_sink(out, current, tie_break=["event_id"]))
+        stream.writeStream.foreachBatch(flows.upsert_sink(panel, tie_break=["event_id"]))
         .option("checkpointLocation", state)
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return present(spark.read.parquet(out).select(*KEYS, TS, PRICE, QUALITY, "event_id"))
+    return present(panel.read().select(*KEYS, TS, PRICE, QUALITY, "event_id"))
+
+
+@query
+def versioned_panel(spark, sf):
+    """Two overlapping halves merged month by month into a published panel; the second half comes twice."""
+    rows = base.candidates(spark, sf)
+    panel = VersionedPanel(spark, scratch(spark, "versions"), rules=quality.PanelRules(required=(PRICE,)))
+    best = lambda df: quality.upsert_by_quality(df, tie_break=["event_id"])
+    panel.merge(rows.where(F.col(TS) < F.lit(SPLIT).cast("timestamp")), best, "feed", 0)
+    for _ in range(2):
+        panel.merge(rows.where(F.col(TS) >= F.lit(MIDDLE).cast("timestamp")), best, "feed", 1)
+    return present(panel.read().select(*KEYS, TS, PRICE, QUALITY, "event_id"))
+
+
+@query
+def ranges_from_source(spark, sf):
+    """The panel kept as files, read back range by range: every whole week of every series is a range."""
+    path = scratch(spark, "feed")
+    rows = base.panel(spark, sf).select(*KEYS, TS, *PANEL_VALUES)
+    rows.repartition(*KEYS).write.partitionBy(*KEYS).parquet(path)
+    spans = gaps.series_bounds(rows).withColumnsRenamed({"start": "range_start", "end": "range_end"})
+    spans = spans.withColumn("range_end", F.col("range_end") + F.expr("INTERVAL 1 HOUR"))
+    weeks = gaps.chunk_ranges(spans, 7).withColumnsRenamed({"chunk_start": "range_start", "chunk_end": "range_end"})
+    got, _ = ranges.fetch_ranges(weeks, ranges.ParquetFeed(path, PANEL_VALUES), PANEL_VALUES)
+    return present(got)
 
 
 @query

@@ -809,8 +809,20 @@ cut AS (SELECT series_id, coalesce(quantile_cont(v, 0.7), 0.0) AS c FROM dv GROU
     f"{rnd('stddev_samp(value)')} AS value_std_24h, count(value) AS n FROM "
     "(SELECT *, unnest(generate_series(h + INTERVAL 1 HOUR, h + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS e FROM ev) GROUP BY series_id, e",
     "streaming_dedupe": B + f"SELECT DISTINCT series_id, strftime(h, {DATE}) AS timestamp_utc FROM ev",
-    "streaming_ramp": T + out("series_id", "result", plain=("late",), position_after="target_position_constrained", late="false"),
+    "streaming_ramp": with_(BASE, MARKET, TRADES, f"""
+ramp_rows AS (
+  SELECT series_id, timestamp_utc, target_position_constrained, row_number() OVER ({W}) AS k,
+    coalesce(p2 * ({P} - lag({P}) OVER ({W})), 0.0) AS earned FROM result),
+gross(series_id, k, e) AS (
+  SELECT DISTINCT series_id, 0::BIGINT, 10000.0::DOUBLE FROM ramp_rows
+  UNION ALL
+  SELECT g.series_id, r.k, greatest(g.e * (1.0 + greatest(least(r.earned / g.e, 1.0 - 1e-6), -1.0 + 1e-6)), 1e-6)
+  FROM gross g JOIN ramp_rows r ON r.series_id = g.series_id AND r.k = g.k + 1)""")
+    + out("series_id", "ramp_rows JOIN gross USING (series_id, k)", plain=("late",), position_after="target_position_constrained",
+          gross_equity_eur="e", late="false"),
     "streaming_upsert": B + f"SELECT series_id, strftime(timestamp_utc, {DATE}) AS timestamp_utc, {rnd(P)} AS {P}, data_quality, event_id FROM {best('cand')}",
+    "versioned_panel": B + f"SELECT series_id, strftime(timestamp_utc, {DATE}) AS timestamp_utc, {rnd(P)} AS {P}, data_quality, event_id FROM {best('cand')}",
+    "ranges_from_source": B + out("series_id", "panel", **same(*PANEL)),
     # flagship
     "gap_repaired_features": B + out("series_id", "clean", plain=("had_gap",), had_gap="had_gap", lag_1=lag(P), lag_24=lag(P, 24), mean_24=mean(P, 24, 24),
                                      std_24=std(P, 24, 24), **{P: P}),

@@ -25,6 +25,7 @@ class Refresh:
     provenance: DataFrame
     diagnostics: DataFrame
     ranges: DataFrame
+    failed: DataFrame | None = None
 
 
 def seasonal_fallback(
@@ -45,7 +46,7 @@ def refresh_panel(
     series: DataFrame,
     start: str,
     end: str,
-    fetch: Callable[[DataFrame], DataFrame],
+    fetch: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]],
     source: str,
     fetched_at: Column,
     values=ENERGY_VALUES,
@@ -57,8 +58,9 @@ def refresh_panel(
 ) -> Refresh:
     """Bring the panel of every series in ``series`` up to date over [start, end].
 
-    Only missing ranges go to ``fetch`` (ranges in, raw rows out). New rows are rolled up, stamped and
-    merged by quality; what is still missing comes from ``fallback`` and is labelled so.
+    Only missing ranges go to ``fetch`` (ranges in, raw rows out, or raw rows and the ranges that failed, as
+    ``ranges.fetch_ranges`` gives). New rows are rolled up, stamped and merged by quality; what is still missing
+    comes from ``fallback`` and is labelled so.
     """
     bounds = series.select(*keys).distinct().withColumns(
         {"start": F.lit(start).cast("timestamp"), "end": F.lit(end).cast("timestamp")}
@@ -67,7 +69,9 @@ def refresh_panel(
     wanted = existing.where(F.lit(not force))
     asked = stage(gaps.align_to_grid(grid, wanted, keys, ts))
     ranges = stage(gaps.missing_ranges(asked, required, keys, ts, force))
-    raw = gaps.rollup_hourly(fetch(ranges), [c for c in values], keys, ts)
+    got = fetch(ranges)
+    raw, failed = got if isinstance(got, tuple) else (got, None)
+    raw = gaps.rollup_hourly(raw, [c for c in values], keys, ts)
     fresh = quality.annotate_source(raw.join(grid, [*keys, ts], "left_semi"), required, source, fetched_at)
     merged = quality.upsert_by_quality(
         asked.unionByName(fresh, allowMissingColumns=True), keys, ts, tie_break=[IS_SYNTHETIC, *values]
@@ -77,15 +81,14 @@ def refresh_panel(
     resolved = stage(
         quality.fill_from_fallback(merged, side, values, required, f"{source}_synthetic", fetched_at, keys, ts)
     )
-    outside = existing.where(
-        ~F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
-    )
+    inside = F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+    outside = existing.where(~F.coalesce(inside, F.lit(False)))
     diagnostics = quality.refresh_diagnostics(
-        merged, existing, fresh, ranges, resolved, required, start, end, keys, ts, force
+        merged, existing, fresh, ranges, resolved, required, start, end, keys, ts, force, failed
     )
     return Refresh(
         outside.unionByName(resolved, allowMissingColumns=True), quality.provenance_summary(resolved, keys), diagnostics,
-        ranges,
+        ranges, failed,
     )
 
 
