@@ -1,6 +1,7 @@
 """Prefix trie against one built from whole tuples in plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -28,7 +29,8 @@ def brute(rows):
     seqs = {}
     for c, own in turns.items():
         h = zlib.crc32(str(c).encode()) % 4
-        seqs[c] = tuple(turns.get(c - c % 20, [])[:h] + own[h:])
+        # The remainder has the sign of the number, as in SQL.
+        seqs[c] = tuple(turns.get(c - int(math.fmod(c, 20)), [])[:h] + own[h:])
     members = {}
     for c, s in seqs.items():
         for d in range(len(s) + 1):
