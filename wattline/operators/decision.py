@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..config import DEFAULT_CHUNKING, Chunking
 from ..functions import chunks
 from ..functions.columns import at_least, clip, position_label
+from ..functions.staging import stage
 from ..functions.windows import ordered
 from ..schema import KEYS, PRED_DEMAND, PRED_PRICE, PRED_RENEWABLE, PRICE, TS
 
@@ -22,12 +23,14 @@ def safe_zscore(x: Column, mean: Column, std: Column) -> Column:
 
 def full_zscore(df: DataFrame, cols: dict[str, str], keys=KEYS, ts: str = TS) -> DataFrame:
     """Adds z-scores over the whole series: ``cols`` maps input to output name."""
+    chunked = chunks.CHUNK in df.columns
+    df = stage(df if chunked else chunks.split(df, ts, keys=keys).drop(chunks.HALO))
     stats = df.groupBy(*keys).agg(
         *[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))]
     )
     out = chunks.attach(df, stats, keys, ts)
     out = out.withColumns({o: safe_zscore(F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c, o in cols.items()})
-    return out.drop(*[f"_{x}_{c}" for c in cols for x in ("m", "s")])
+    return out.drop(*[f"_{x}_{c}" for c in cols for x in ("m", "s")], *([] if chunked else [chunks.CHUNK]))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -319,9 +319,7 @@ def normalised_feed(spark, sf):
     )
 
 
-@query
-def hourly_arrays(spark, sf):
-    """One payload of parallel arrays per series and day, exploded back to rows."""
+def _payloads(spark, sf):
     rows = base.weather(spark, sf)
     day = F.date_trunc("day", TS).alias("day")
     hours = F.array_sort(
@@ -338,7 +336,21 @@ def hourly_arrays(spark, sf):
             ]
         ).alias("hourly"),
     )
-    return present(feeds.explode_hourly(payload))
+    return payload
+
+
+@query
+def hourly_arrays(spark, sf):
+    """One payload of parallel arrays per series and day, exploded back to rows."""
+    return present(feeds.explode_hourly(_payloads(spark, sf)))
+
+
+@query
+def hourly_array_files(spark, sf):
+    """The same payloads as JSON files, read with the fixed schema."""
+    path = scratch(spark, "payloads")
+    _payloads(spark, sf).write.json(path)
+    return present(storage.read_hourly_arrays(spark, path))
 
 
 # ---------------------------------------------------------------- features
@@ -388,6 +400,13 @@ def feature_matrix(spark, sf):
     )
 
 
+@query
+def nonempty_columns(spark, sf):
+    """A column without any value leaves, all others stay."""
+    rows = base.aligned(spark, sf).withColumn(INTRADAY, F.lit(None).cast("double"))
+    return present(features.drop_all_null(stage(rows)))
+
+
 @query
 def dense_windows(spark, sf):
     """Row windows on the long daily panel, whose rows are numbered because its grid has other steps."""
@@ -870,6 +889,20 @@ def scored_csv_round_trip(spark, sf):
     return present(back.select(*KEYS, TS, PRICE, PRED_PRICE))
 
 
+@query
+def run_artifacts(spark, sf):
+    """Results, metrics and analytics of a run, written and loaded again; rows and profit per series."""
+    root = scratch(spark, "run")
+    result = stage(_result(spark, sf))
+    storage.write_results(base.scored(spark, sf), f"{root}/results")
+    storage.write_metrics(backtest.metrics(result), f"{root}/metrics")
+    storage.write_metrics(backtest.analytics(result), f"{root}/analytics")
+    results, metrics, analytics = storage.load_run_artifacts(spark, root)
+    rows = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("result_rows"), F.sum(PRICE).alias("price_sum"))
+    out = rows.join(metrics.select(*KEYS, "total_pnl", "trade_count"), list(KEYS)).join(analytics.select(*KEYS, "row_count"), list(KEYS))
+    return present(out, 3)
+
+
 @query
 def decision_log_json(spark, sf):
     """Events appended as JSON lines and decoded again."""
@@ -921,25 +954,28 @@ def _drain_updates(spark, frame, name):
     return spark.read.parquet(out).groupBy(*KEYS, TS).agg(last).select(*KEYS, TS, "v.*")
 
 
-#: The files of the table follow no order of time, so state is kept for longer than it spans.
-ANY_ORDER = "40 days"
+def _any_order(spark, sf) -> str:
+    """A delay as long as the table: its files follow no order of time, so no row may come too late."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    ends = base.table(spark, sf, "events").agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    return f"{0 if ends['a'] is None else ends['b'] - ends['a'] + 86400} seconds"
 
 
 @query
 def streaming_rollup(spark, sf):
-    frame = flows.hourly_rollup(_event_stream(spark, sf), ["value"], delay=ANY_ORDER)
+    frame = flows.hourly_rollup(_event_stream(spark, sf), ["value"], delay=_any_order(spark, sf))
     return present(_drain_updates(spark, frame, "rollup"))
 
 
 @query
 def streaming_dedupe(spark, sf):
     frame = _event_stream(spark, sf).withColumn(TS, F.date_trunc("hour", TS)).select(*KEYS, TS)
-    return present(_drain(spark, flows.dedupe(frame, delay=ANY_ORDER), "dedupe"))
+    return present(_drain(spark, flows.dedupe(frame, delay=_any_order(spark, sf)), "dedupe"))
 
 
 @query
 def streaming_windows(spark, sf):
-    frame = flows.sliding_features(_event_stream(spark, sf), "value", delay=ANY_ORDER)
+    frame = flows.sliding_features(_event_stream(spark, sf), "value", delay=_any_order(spark, sf))
     return present(_drain_updates(spark, frame, "windows"))
 
 

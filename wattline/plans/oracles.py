@@ -341,6 +341,11 @@ def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n"
 
 
+#: Without execution delay the position reached in an hour is held from that hour on, and waiting costs nothing.
+AT_ONCE = TRADES.replace(
+    "p1 AS position, p1 - p2 AS change, abs(p1 - p2) AS turnover",
+    "target_position_constrained AS position, target_position_constrained - p1 AS change, abs(target_position_constrained - p1) AS turnover",
+).replace("coalesce(vol, 0.0) * 0.03 AS delay_cost_eur", "0.0 AS delay_cost_eur")
 B, M = with_(BASE), with_(BASE, MARKET)
 T = with_(BASE, MARKET, TRADES)
 WIDE = (
@@ -618,6 +623,12 @@ seen AS (
     ),
     "normalised_feed": B + "SELECT series_id, round(sum(value), 3) AS actual, sum(user_id)::BIGINT AS unit, count(*) AS n FROM ev GROUP BY 1",
     "hourly_arrays": B + out("series_id", "wx", **same(*WEATHER)),
+    "hourly_array_files": B + out("series_id", "wx", **same(*WEATHER)),
+    "nonempty_columns": B + out("series_id", "aligned", **same(*PANEL)),
+    "run_artifacts": T + f"""
+SELECT series_id, r.n AS result_rows, {rnd("r.p", 3)} AS price_sum, {rnd("m.total_pnl", 3)} AS total_pnl, m.trade_count, r.n AS row_count
+FROM (SELECT series_id, count(*) AS n, sum({P}) AS p FROM scored GROUP BY 1) r
+JOIN (SELECT * FROM metrics WHERE strategy_name = 'upgraded_strategy') m USING (series_id)""",
     # features
     "calendar_features": B + (
         f"SELECT series_id, strftime(timestamp_utc, {DATE}) AS timestamp_utc, hour(timestamp_utc) AS hour, isodow(timestamp_utc) - 1 AS day_of_week, "
@@ -809,6 +820,8 @@ cut AS (SELECT series_id, coalesce(quantile_cont(v, 0.7), 0.0) AS c FROM dv GROU
     f"{rnd('stddev_samp(value)')} AS value_std_24h, count(value) AS n FROM "
     "(SELECT *, unnest(generate_series(h + INTERVAL 1 HOUR, h + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS e FROM ev) GROUP BY series_id, e",
     "streaming_dedupe": B + f"SELECT DISTINCT series_id, strftime(h, {DATE}) AS timestamp_utc FROM ev",
+    "immediate_execution": with_(BASE, MARKET, AT_ONCE)
+    + out("series_id", "result", **same("position", "turnover", "delay_cost_eur", "net_pnl_eur", "equity_eur")),
     "streaming_ramp": with_(BASE, MARKET, TRADES, f"""
 ramp_rows AS (
   SELECT series_id, timestamp_utc, target_position_constrained, row_number() OVER ({W}) AS k,
