@@ -772,6 +772,27 @@ def compared_models(spark, sf):
     return present(ranked.select(*KEYS, "model_key", "sharpe_ratio", "price_mae", "significant_vs_persistence", "rank"))
 
 
+@query
+def research_run(spark, sf):
+    """The whole run: events, refresh by missing ranges, cleaning, features, walk-forward model, ranked strategies."""
+    at = F.lit("2024-02-01").cast("timestamp")
+    rows = stage(base.panel(spark, sf))
+    feed = scratch(spark, "run-feed")
+    rows.where(F.col(TS) >= F.lit(MIDDLE).cast("timestamp")).repartition(*KEYS).write.partitionBy(*KEYS).parquet(feed)
+    old = quality.annotate_source(rows.where(F.col(TS) < F.lit(SPLIT).cast("timestamp")), REQUIRED, "feed", at)
+
+    def fetch(missing):
+        return ranges.fetch_ranges(missing, ranges.ParquetFeed(feed, PANEL_VALUES), PANEL_VALUES)
+
+    refreshed = workflow.refresh_panel(old, rows, START, END, fetch, "feed", at, PANEL_VALUES, REQUIRED)
+    energy = conform(refreshed.panel, ENERGY_SCHEMA)
+    weather = quality.annotate_source(base.weather(spark, sf), WEATHER_VALUES, "weather", at)
+    features_ = stage(workflow.feature_table(energy, weather))
+    run = workflow.research_run(features_, "additive", fc=base.FOLDS, provenance=refreshed.provenance)
+    cols = [*KEYS, backtest.STRATEGY, "sharpe_ratio", "total_pnl", "directional_accuracy", "energy_source_research_grade", "rank"]
+    return present(run["strategies"].select(*cols), 3)
+
+
 @query
 def forecast_errors(spark, sf):
     pairs = ((PRED_PRICE, PRICE), ("pred_demand_kw", DEMAND), ("pred_renewable_mw", RENEWABLE))

@@ -110,8 +110,8 @@ def feature_table(
 ) -> DataFrame:
     """Clean both panels, join them, build features."""
     joined = join_energy_weather(
-        clean_panel(energy, ENERGY_VALUES, keys, ts, True, chunking),
-        clean_panel(weather, WEATHER_VALUES, keys, ts, False, chunking),
+        clean_panel(energy, ENERGY_VALUES, keys, ts, True, chunking).drop("had_gap"),
+        clean_panel(weather, WEATHER_VALUES, keys, ts, False, chunking).drop("had_gap"),
         keys, ts,
     )
     joined = stage(joined)
