@@ -22,11 +22,14 @@ ROWS_PER_BIN = 50_000
 
 
 def ring(spark: SparkSession, shards: int, nodes: int, positions: int = POSITIONS) -> DataFrame:
-    """(position, shards array): for every position the shards in the order in which they come clockwise."""
+    """(position, shards array): for every position the shards in the order in which they come clockwise.
+
+    A virtual node's place follows from its shard and its number alone, so one more shard leaves the nodes of the
+    others where they are and takes over only the arcs before its own.
+    """
     all_ = spark.range(positions).select(F.col("id").alias("position"))
-    owned = spark.range(shards * nodes).select(
-        F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(positions)).alias("at"), (F.col("id") % shards).cast("int").alias("s")
-    )
+    place = F.xxhash64(F.lit("node"), F.expr(f"id DIV {nodes}"), F.col("id") % nodes)
+    owned = spark.range(shards * nodes).select(F.pmod(place, F.lit(positions)).alias("at"), F.expr(f"CAST(id DIV {nodes} AS INT)").alias("s"))
     first = owned.groupBy("at").pivot("s", list(range(shards))).agg(F.lit(True))
     marked = all_.join(first, F.col("position") == F.col("at"), "left").drop("at")
     ahead = Window.orderBy(F.col("position").desc()).rowsBetween(Window.unboundedPreceding, 0)
