@@ -504,7 +504,7 @@ def feature_importance(model, cols, spark, n: int = 20) -> DataFrame:
     return spark.createDataFrame([(c, float(v)) for c, v in values], "feature string, importance double")
 
 
-def ablation_impact(model, df: DataFrame, cols, keys=KEYS, ts: str = TS) -> DataFrame:
+def ablation_impact(model, df: DataFrame, cols, keys=KEYS) -> DataFrame:
     """Mean absolute change of the prediction over all rows when one feature is replaced by its median in the series.
 
     Each row carries its own prediction through the replacements, so nothing is joined back.
@@ -512,8 +512,10 @@ def ablation_impact(model, df: DataFrame, cols, keys=KEYS, ts: str = TS) -> Data
     """
     cols, keys = list(cols), list(keys)
     base = model.transform(assembled(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
-    long = df.select(*keys, ts, F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_i", "_v"))
-    middle = quantile(long, [*keys, "_i"], ts, F.col("_v"), 0.5, "_m")
+    # Rows have no order here: parts by hash serve where chunks of time would.
+    values = F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("_i", "_v")
+    long = df.select(*keys, F.pmod(F.xxhash64(*cols), F.lit(64)).alias(chunks.CHUNK), values)
+    middle = quantile(long, [*keys, "_i"], TS, F.col("_v"), 0.5, "_m")
     medians = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(f"_m_{c}") for i, c in enumerate(cols)])
     rows = base.select(*keys, *cols, F.col("_pred").alias("_base")).join(medians, keys)
     spread = rows.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in cols]))).select(
