@@ -6,6 +6,7 @@ again as the next stage's input. All but the last return the columns of ``docume
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattline.llm import exact_dedup, langid, mixing, near as near_copies, packing
@@ -15,7 +16,20 @@ from wattline.llm.shipping import ship
 
 
 def _same_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number, written so that the number is fixed; decisions are joined back by it."""
+    """``docs`` with a row number that stays the same however often the rows are read; decisions are joined back by it.
+
+    Rows read from files are numbered by file and place in it, so no text is written again. Others, also files' rows
+    that come several times, are written with their number.
+    """
+    try:
+        place = docs.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    except AnalysisException:
+        place = None
+    if place is not None:
+        files = sorted(r["f"] for r in place.select("f").distinct().collect())
+        if files and place.groupBy("f", "i").count().where("count > 1").isEmpty():
+            number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i << 40))])
+            return docs.withColumn("__row", number[F.col("_metadata.file_path")] + F.col("_metadata.row_index"))
     return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "stage-rows")
 
 
@@ -39,7 +53,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, that with the smallest doc_id.
 
-    Near-duplicates have a Jaccard similarity of at least 0.8 over five-word shingles; op4's contract is its own.
+    op4's fingerprint components come first. Near-duplicates have a Jaccard similarity of at least 0.8 over five-word
+    shingles: links of the components are checked by it, and min-hash bands find those that three bits miss.
     """
     ship(spark)
     rows = _same_rows(docs)
