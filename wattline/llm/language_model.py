@@ -25,6 +25,10 @@ from .common import id_fold, staged
 
 END_KEY = "\n"  # no word holds white space, so this stands for the end of a text
 MOST_WORDS = 400_000
+#: Rows of a class that one matrix product takes.
+PIECE = 16
+#: Rows whose scores are computed at a time, so that they stay in the processor's cache.
+CACHED = 2048
 
 
 @dataclass(frozen=True)
@@ -133,77 +137,128 @@ def unpack_parameters(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str
     return out
 
 
-def _sum_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different indices, and the sum of ``rows`` for each."""
-    order = np.argsort(index, kind="stable")
-    at = index[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.add.reduceat(rows[order], starts, axis=0)
+def _order(index: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of indices below ``most``; short ones are sorted by their digits."""
+    return np.argsort(index.astype(np.uint16) if most <= 1 << 16 else index, kind="stable")
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.minimum(x, 30, out=x)
+    np.maximum(x, -30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
-    """Noise-contrastive training with AdaGrad: a word is told from ``noise`` words drawn by frequency."""
+    """Noise-contrastive training with AdaGrad: a word is told from ``noise`` words drawn by frequency.
+
+    A class or word and its bias share a row, so that ``p`` holds views of one table each; a context has 1 for the bias.
+    """
 
     def __init__(self, p: dict[str, np.ndarray], vocab: Vocabulary, how: Config, seed: int):
-        self.p, self.how, self.rng = {k: v.copy() for k, v in p.items()}, how, np.random.default_rng(seed)
+        self.how, self.rng = how, np.random.default_rng(seed)
         self.lay = Layout(vocab.rare + 1, how.classes)
         slots = self.lay.classes * self.lay.width
         prob = np.zeros(slots)
         prob[: self.lay.n] = vocab.unigram / vocab.unigram.sum()
         per = prob.reshape(self.lay.classes, self.lay.width)
-        self.class_p = per.sum(axis=1)
-        self.class_cdf = np.cumsum(self.class_p)
-        self.in_class = per / self.class_p[:, None]
-        self.in_cdf = np.cumsum(self.in_class, axis=1)
-        self.class_p = np.maximum(self.class_p, 1e-12).astype(np.float32)
-        self.flat_p = np.maximum(self.in_class.ravel(), 1e-12).astype(np.float32)
-        self.seen = {k: np.full_like(v, 1e-2) for k, v in p.items()}
-
-    def _step(self, name: str, grad: np.ndarray, index: np.ndarray | None = None) -> None:
-        at = slice(None) if index is None else index
-        self.seen[name][at] += grad * grad
-        self.p[name][at] -= self.how.rate * grad / np.sqrt(self.seen[name][at])
+        class_p = per.sum(axis=1)
+        self.class_cdf = np.cumsum(class_p)
+        in_class = per / class_p[:, None]
+        #: A class's distribution begins at its number, so that one search serves all classes.
+        self.in_cdf = (np.cumsum(in_class, axis=1) + np.arange(self.lay.classes)[:, None]).ravel()
+        self.expected = {
+            "class": np.log(how.noise * np.maximum(class_p, 1e-12).astype(np.float32)),
+            "word": np.log(how.noise * np.maximum(in_class.ravel(), 1e-12).astype(np.float32)),
+        }
+        self.rows = {x: _even(np.concatenate([p[x], p[f"{x}_bias"][:, None]], axis=1)) for x in ("class", "word")}
+        self.rows |= {x: _even(p[x]) for x in ("context", "scale")}
+        self.seen = {k: np.full_like(v, 1e-2) for k, v in self.rows.items()}
+        size = how.size
+        self.p = {x: v[:, :size] for x, v in self.rows.items()} | {f"{x}_bias": self.rows[x][:, size] for x in ("class", "word")}
+
+    def _step(self, name: str, grad: np.ndarray, index: np.ndarray) -> None:
+        seen = self.seen[name].take(index, axis=0)
+        seen += grad * grad
+        self.seen[name][index] = seen
+        np.sqrt(seen, out=seen)
+        grad *= self.how.rate
+        grad /= seen
+        self.rows[name][index] = self.rows[name].take(index, axis=0) - grad
 
     def step(self, context: np.ndarray, word: np.ndarray) -> None:
-        """One batch. Noise is shared: by all for the class, by the words of a class within it."""
-        p, k, width = self.p, self.how.noise, self.lay.width
-        order = np.argsort(word, kind="stable")
-        word, context = word[order], context[order]
-        vectors = p["context"][context]
-        q = (vectors * p["scale"]).sum(axis=1)
+        """One batch. Noise is shared: by all for the class, by the words of a class within it.
+
+        The words of a class are dealt to pieces of ``PIECE`` rows, the last one filled up with zeros, so that all
+        classes are one product of matrices.
+        """
+        k, width, n, slots = self.how.noise, self.lay.width, len(word), len(self.rows["word"])
+        order = _order(word, slots)
+        word, context = word.take(order), context.take(order, axis=0)
+        scale = self.rows["scale"]
+        vectors = self.rows["context"].take(context.ravel(), axis=0).reshape(*context.shape, scale.shape[1])
+        size = self.how.size
+        q = np.zeros((n, self.rows["word"].shape[1]), dtype=np.float32)
+        np.einsum("ijk,jk->ik", vectors[:, :, :size], scale[:, :size], out=q[:, :size])
+        q[:, size] = 1.0
         cls = word // width
+        starts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        present, sizes = cls[starts], np.diff(starts, append=n)
         noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(k)), self.lay.classes - 1)
-        g, g_noise, dq = self._contrast("class", q, cls, noise, self.class_p)
-        class_index, class_rows = [cls, noise], [g[:, None] * q, g_noise.T @ q]
-        class_bias = [g, g_noise.sum(axis=0)]
-        present, starts = np.unique(cls, return_index=True)
-        word_index, word_rows, word_bias, ends = [word], [None], [None], [*starts[1:], len(word)]
-        h = np.empty(len(word), dtype=np.float32)
-        for c, lo, hi in zip(present, starts, ends):
-            inside = np.minimum(np.searchsorted(self.in_cdf[c], self.rng.random(k)), width - 1) + c * width
-            h[lo:hi], h_noise, more = self._contrast("word", q[lo:hi], word[lo:hi], inside, self.flat_p)
-            dq[lo:hi] += more
-            word_index.append(inside)
-            word_rows.append(h_noise.T @ q[lo:hi])
-            word_bias.append(h_noise.sum(axis=0))
-        word_rows[0], word_bias[0] = h[:, None] * q, h
-        for name, index, rows, bias in (("class", class_index, class_rows, class_bias), ("word", word_index, word_rows, word_bias)):
-            at, total = _sum_rows(np.concatenate(index), np.concatenate([np.concatenate(rows), np.concatenate(bias)[:, None]], axis=1))
-            self._step(name, total[:, :-1], at)
-            self._step(f"{name}_bias", total[:, -1], at)
-        at, total = _sum_rows(context.ravel(), (dq[:, None, :] * p["scale"]).reshape(-1, q.shape[1]))
-        scale = (dq[:, None, :] * vectors).sum(axis=0)
-        self._step("context", total, at)
-        self._step("scale", scale)
-
-    def _contrast(self, name: str, q: np.ndarray, real: np.ndarray, noise: np.ndarray, prob: np.ndarray) -> tuple:
-        """Gradients of the scores of the real entries and of the noise, and of ``q``."""
-        vectors, bias, k = self.p[name], self.p[f"{name}_bias"], len(noise)
-        score = (q * vectors[real]).sum(axis=1) + bias[real] - np.log(k * prob[real])
-        other = q @ vectors[noise].T + bias[noise] - np.log(k * prob[noise])
-        g = 1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - 1.0
-        g_noise = 1.0 / (1.0 + np.exp(-np.clip(other, -30, 30)))
-        return g, g_noise, g[:, None] * vectors[real] + g_noise @ vectors[noise]
+        drawn = self.rng.random((len(present), k)) + present[:, None]
+        inside = np.minimum(np.searchsorted(self.in_cdf, drawn.ravel()).reshape(drawn.shape), present[:, None] * width + width - 1)
+
+        rows = self.rows["class"]
+        own, other = rows.take(cls, axis=0), rows.take(noise, axis=0)
+        g = _sigmoid(np.einsum("ij,ij->i", q, own) - self.expected["class"].take(cls)) - 1.0
+        g_noise = _sigmoid(q @ other.T - self.expected["class"].take(noise))
+        dq = g[:, None] * own
+        dq += g_noise @ other
+        class_index, class_rows = np.concatenate([cls, noise]), np.concatenate([g[:, None] * q, g_noise.T @ q])
+
+        rows = self.rows["word"]
+        own = rows.take(word, axis=0)
+        h = _sigmoid(np.einsum("ij,ij->i", q, own) - self.expected["word"].take(word)) - 1.0
+        dq += h[:, None] * own
+        pieces = -(-sizes // PIECE)
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(n) + np.repeat(first * PIECE - starts, sizes)
+        inside = np.repeat(inside, pieces, axis=0)
+        other = rows.take(inside.ravel(), axis=0).reshape(*inside.shape, -1)
+        asked = np.zeros((len(inside) * PIECE, q.shape[1]), dtype=np.float32)
+        asked[place] = q
+        asked = asked.reshape(len(inside), PIECE, -1)
+        h_noise = np.matmul(asked, other.transpose(0, 2, 1))
+        h_noise -= self.expected["word"].take(inside)[:, None, :]
+        h_noise = _sigmoid(h_noise)
+        dq += np.matmul(h_noise, other).reshape(-1, q.shape[1]).take(place, axis=0)
+        # Rows that fill a piece up are zero, so their share of these products is zero too.
+        to_noise = np.matmul(h_noise.transpose(0, 2, 1), asked).reshape(-1, q.shape[1])
+
+        self._add("class", class_index, class_rows)
+        self._add("word", np.concatenate([word, inside.ravel()]), np.concatenate([h[:, None] * q, to_noise]))
+        dq = _even(dq[:, :size])
+        to_scale = np.einsum("ik,ijk->jk", dq, vectors)
+        self._add("context", context.ravel(), (dq[:, None, :] * scale).reshape(-1, scale.shape[1]))
+        self._step("scale", to_scale, np.arange(len(scale)))
+
+    def _add(self, name: str, index: np.ndarray, rows: np.ndarray) -> None:
+        """A step by the sum of ``rows`` for each different index. Two numbers side by side are added up as one."""
+        order = _order(index, len(self.rows[name]))
+        index = index.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+        total = np.add.reduceat(rows.take(order, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
+        self._step(name, total, index.take(starts))
+
+
+def _even(rows: np.ndarray) -> np.ndarray:
+    """An even number of columns, a last one of zeros where needed."""
+    out = np.zeros((len(rows), rows.shape[1] + rows.shape[1] % 2), dtype=np.float32)
+    out[:, : rows.shape[1]] = rows
+    return out
 
 
 class _Numbers(dict):
@@ -307,22 +362,33 @@ class Scorer:
         self.bias = p["word_bias"].reshape(self.lay.classes, w)
 
     def log10(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        q = self.by_place[0][context[:, 0]]
-        for i in range(1, context.shape[1]):
-            q = q + self.by_place[i][context[:, i]]
         cls = word // self.lay.width
-        scores = q @ self.cls + self.cls_bias
-        out = scores[np.arange(len(word)), cls] - np.log(np.exp(scores).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.lay.classes + 1))
+        q, out = np.empty((len(word), self.cls.shape[0]), dtype=np.float32), np.empty(len(word), dtype=np.float32)
+        for at in range(0, len(word), CACHED):
+            near = context[at : at + CACHED]
+            part = self.by_place[0].take(near[:, 0], axis=0)
+            for i in range(1, context.shape[1]):
+                part += self.by_place[i].take(near[:, i], axis=0)
+            q[at : at + CACHED] = part
+            out[at : at + CACHED] = _log_share(part @ self.cls + self.cls_bias, cls[at : at + CACHED])
+        order = _order(cls, self.lay.classes)
+        ends = np.searchsorted(cls.take(order), np.arange(self.lay.classes + 1))
         for c in range(self.lay.classes):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                inside = q[at] @ self.words[c] + self.bias[c]
-                out[at] += inside[np.arange(len(at)), word[at] - c * self.lay.width] - np.log(np.exp(inside).sum(axis=1))
+            mine = order[ends[c] : ends[c + 1]]
+            for at in range(0, len(mine), CACHED):
+                part = mine[at : at + CACHED]
+                inside = q.take(part, axis=0) @ self.words[c] + self.bias[c]
+                out[part] += _log_share(inside, word.take(part) - c * self.lay.width)
         return out.astype(np.float64) / math.log(10)
 
 
+def _log_share(scores: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each row's softmax at ``picked``; ``scores`` is overwritten."""
+    own = scores[np.arange(len(picked)), picked]
+    np.exp(scores, out=scores)
+    return own - np.log(scores @ np.ones(scores.shape[1], dtype=np.float32))
+
+
 def score(docs: DataFrame, how: Config = Config(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
