@@ -11,6 +11,7 @@ from wattline.config import ForecastConfig
 from wattline.functions import recurrent as net
 from wattline.functions.staging import stage
 from wattline.operators import forecast, recurrent
+from wattline.plans import base, catalog
 from wattline.schema import DEMAND, KEYS, PRICE, RENEWABLE, TS
 
 START = dt.datetime(2024, 1, 1)
@@ -63,6 +64,52 @@ def test_pruning_and_tuning_see_the_first_window_only(spark):
         assert pick(staggered(spark)) == pick(staggered(spark, cut))
 
 
+def test_boosted_forecast_runs_the_default_trees_on_all_kept_features(spark, monkeypatch):
+    hours = (base.FOLDS.train_days + 2 * base.FOLDS.test_days) * 24
+    parts = [panel(hours, 0, name, seed) for name, seed in (("A", 1), ("B", 2))]
+    rng = np.random.default_rng(5)
+    for p in parts:
+        p[[*catalog.REGRESSORS, "humidity_pct_anomaly"]] = rng.normal(size=(hours, 5))
+        p["flat"] = 7.0
+    rows = stage(spark.createDataFrame(pd.concat(parts, ignore_index=True)))
+    fits, used, booster, frame = [], [], forecast.booster, forecast.fold_frame
+
+    def recorded(target, params, seed, out="_pred"):
+        fits.append((target, params))
+        return booster(target, TINY, seed, out)
+
+    def framed(df, cols, *rest):
+        used.append(list(cols))
+        return frame(df, cols, *rest)
+
+    monkeypatch.setattr(forecast, "booster", recorded)
+    monkeypatch.setattr(forecast, "fold_frame", framed)
+    monkeypatch.setattr(catalog, "_features", lambda spark, sf: rows)
+    scored = catalog.boosted_forecast(spark, "").toPandas()
+    assert len(scored) == 2 * 2 * base.FOLDS.test_days * 24
+    assert scored[list(forecast.TARGETS)].notna().all(axis=None)
+    assert sorted(t for t, _ in fits) == sorted([PRICE, DEMAND, RENEWABLE] * 2)
+    assert {p for _, p in fits} == {forecast.BoostParams()}
+    assert (forecast.BoostParams().trees, forecast.BoostParams().depth) == (300, 6)
+    assert len(used) == 1 and set(used[0]) == {"a", "b", *catalog.REGRESSORS, "humidity_pct_anomaly"}
+
+
+def test_boosted_predictions_do_not_depend_on_how_rows_are_dealt_out(spark):
+    params = forecast.BoostParams(trees=3, depth=2, step=0.3, row_share=0.7, column_share=0.5)
+    fit = lambda df: predictions(forecast.fit_boosted(df, ["a", "b"], PRICE, "p", FC, params, final=False)[0])
+    rows = staggered(spark)
+    one, many = fit(rows.orderBy(TS).coalesce(1)), fit(rows.orderBy(F.desc(TS)).repartition(5))
+    assert len(one) == 480 - 96 and one == many
+
+
+def test_fits_run_in_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    rows = staggered(spark).repartition(40)
+    monkeypatch.setattr(forecast, "FIT_ROWS", 100)
+    packed = forecast.packed(rows)
+    assert packed.rdd.getNumPartitions() == 5 and packed.count() == 480
+    assert forecast.packed(rows.limit(0)).rdd.getNumPartitions() <= 1
+
+
 def test_time_folds(spark):
     clock = forecast.time_folds(staggered(spark), FC)
     assert (clock.train, clock.test, clock.count) == (96, 48, 5)
